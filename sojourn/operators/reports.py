@@ -12,7 +12,8 @@ from sojourn.functions.dates import AsOf, format_date
 from sojourn.operators.classify import Rules, first_match
 from sojourn.schema import END, START, UPDATED
 
-OPEN = F.col(END).isNull()
+def is_open() -> Column:
+    return F.col(END).isNull()
 
 
 def summary_stats(profiles: DataFrame, statuses: Mapping[str, str]) -> DataFrame:
@@ -22,14 +23,14 @@ def summary_stats(profiles: DataFrame, statuses: Mapping[str, str]) -> DataFrame
         F.count(F.lit(1)).alias("total"),
         F.countDistinct("category").alias("categories"),
         *per_status,
-        F.count_if(OPEN).alias("open_count"),
+        F.count_if(is_open()).alias("open_count"),
         F.round(F.coalesce(F.avg("days_1y"), F.lit(0.0)), 1).alias("avg_days"),
     )
 
 
 def stats_by(profiles: DataFrame, column: str = "category", limit: int = 20) -> DataFrame:
     """Largest groups with how many of their rows are open."""
-    grouped = profiles.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.count_if(OPEN).alias("open_count"))
+    grouped = profiles.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_open()).alias("open_count"))
     return grouped.orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(limit)
 
 
