@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.operators.filters import all_of
+from sojourn.session import materialize
 
 #: (condition, value) pairs; the first condition that is true gives the value.
 Rules = Sequence[tuple[Column, Column | str | int]]
@@ -48,6 +49,7 @@ def category_group(df: DataFrame, spellings: DataFrame, column: str = "category"
     one_each = spellings.groupBy(F.upper(F.trim("spelling")).alias("_spelling")).agg(
         F.min_by("group_name", F.struct("group_order", "group_name")).alias("group_name")
     )
+    one_each = materialize(one_each, "spellings")
     joined = df.join(one_each, F.upper(F.trim(F.col(column))) == F.col("_spelling"), "left")
     return joined.select(*df.columns, F.coalesce("group_name", F.lit(other)).alias("group_name"))
 
@@ -91,12 +93,12 @@ def group_flag(df: DataFrame, by: Sequence[str], predicate: Column, column: str
     """Flag (1 or 0) every row whose group has a row that satisfies the predicate. NULLs are one group.
 
     A window over the group would bring a hot group into one task. Here the flagged groups are made
-    distinct inside the input tasks and joined back: adaptive execution broadcasts them if they are
-    few, and otherwise splits the rows of a hot group over several tasks. ``df`` is read twice, so
-    pass a stored table where it is expensive to compute.
+    distinct inside the input tasks, stored, and joined back: broadcast if their stored size is small,
+    and otherwise with the rows of a hot group split over several tasks. ``df`` is read twice, so pass
+    a stored table where it is expensive to compute.
     """
     flagged = df.filter(predicate).select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
-    flagged = flagged.withColumn("_flag", F.lit(1))
+    flagged = materialize(flagged.withColumn("_flag", F.lit(1)), "flagged-groups")
     same_group = all_of(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)
     joined = df.join(flagged, same_group, "left")
     return joined.select(*df.columns, F.coalesce("_flag", F.lit(0)).alias(column))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.dates import AsOf, as_date
 from sojourn.schema import END, START
+from sojourn.session import materialize
 
 CURRENT = "current"
 ENDED = "ended"
@@ -99,6 +100,7 @@ def filter_group(
     if not codes:
         return df
     names = spellings.filter(F.col("group_name").isin(codes)).select(F.col("spelling").alias("_spelling")).distinct()
+    names = materialize(names, "group-spellings")
     if names.isEmpty():
         return df
     return df.join(names, F.upper(F.col(column)) == F.col("_spelling"), "left_semi")

@@ -1,9 +1,9 @@
 """Keyed upsert and label corrections as joins.
 
-The batch is reduced to one row per key first, inside the input tasks. The current table is always
-the streamed side of a left join, so a small batch reaches it without shuffling it, and with a large
-batch adaptive execution can split the current rows of a hot key. A full outer join would allow
-neither.
+The batch is reduced to one row per key first, inside the input tasks, and stored. The current table
+is always the streamed side of a left join, so a small batch reaches it without shuffling it, and with
+a large batch adaptive execution can split the current rows of a hot key. A full outer join would
+allow neither.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sojourn.functions.text import norm_key, strip
 from sojourn.operators.filters import all_of
 from sojourn.schema import ATTRIBUTES, LABEL, START, SUBJECT, UPDATED
+from sojourn.session import materialize
 
 KEYS = (SUBJECT, START)
 ACTION = "action"
@@ -41,34 +42,29 @@ def _prefixed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def matched_rows(current: DataFrame, batch: DataFrame, keys: Sequence[str] = KEYS, null_safe: bool = False) -> DataFrame:
     """Current rows whose key the batch has."""
-    return current.join(_prefixed(batch, keys).distinct(), _same(keys, null_safe), "left_semi")
+    wanted = materialize(_prefixed(batch, keys).distinct(), "batch-keys")
+    return current.join(wanted, _same(keys, null_safe), "left_semi")
 
 
-def new_rows(current: DataFrame, batch: DataFrame, keys: Sequence[str] = KEYS, null_safe: bool = False) -> DataFrame:
-    """Batch rows whose key the current table lacks.
+def new_rows(current: DataFrame, latest: DataFrame, keys: Sequence[str] = KEYS, null_safe: bool = False) -> DataFrame:
+    """Rows of a batch with unique keys whose key the current table lacks.
 
     The table is first cut down to the distinct keys it shares with the batch.
     """
-    shared = _prefixed(matched_rows(current, batch, keys, null_safe), keys).distinct()
-    return batch.join(shared, _same(keys, null_safe), "left_anti")
+    found = current.join(_prefixed(latest, keys), _same(keys, null_safe), "left_semi")
+    shared = _prefixed(found, keys).distinct()
+    return latest.join(shared, _same(keys, null_safe), "left_anti")
 
 
-def upsert_tagged(
+def upsert_latest(
     current: DataFrame,
-    batch: DataFrame,
+    latest: DataFrame,
     now: dt.datetime,
-    position: str,
     keys: Sequence[str] = KEYS,
     attributes: Sequence[str] = ATTRIBUTES,
     null_safe: bool = False,
 ) -> DataFrame:
-    """The whole new table with the action each row underwent.
-
-    A matched row takes the batch's attributes, and its label unless that is blank. With plain
-    equality a NULL key part never matches, so such rows are inserted at every load; ``null_safe``
-    makes them match.
-    """
-    latest = last_per_key(batch, keys, position)
+    """``upsert_tagged`` for a stored batch that already has one row per key."""
     stamp = F.lit(now).cast(current.schema[UPDATED].dataType)
     hit = F.col("_hit").isNotNull()
     incoming = _prefixed(latest, [*keys, *attributes, LABEL]).withColumn("_hit", F.lit(True))
@@ -82,6 +78,25 @@ def upsert_tagged(
     return changed.unionByName(added.select(*current.columns, F.lit(INSERTED).alias(ACTION)))
 
 
+def upsert_tagged(
+    current: DataFrame,
+    batch: DataFrame,
+    now: dt.datetime,
+    position: str,
+    keys: Sequence[str] = KEYS,
+    attributes: Sequence[str] = ATTRIBUTES,
+    null_safe: bool = False,
+) -> DataFrame:
+    """The whole new table with the action each row underwent.
+
+    A matched row takes the batch's attributes, and its label unless that is blank. With plain
+    equality a NULL key part never matches, so such rows are inserted at every load; ``null_safe``
+    makes them match.
+    """
+    latest = materialize(last_per_key(batch, keys, position), "batch")
+    return upsert_latest(current, latest, now, keys, attributes, null_safe)
+
+
 def upsert(current: DataFrame, batch: DataFrame, now: dt.datetime, position: str, **options) -> DataFrame:
     """The new table after the batch; see ``upsert_tagged``."""
     return upsert_tagged(current, batch, now, position, **options).drop(ACTION)
@@ -105,6 +120,7 @@ def apply_labels(
         norm_key(F.col(key)).alias("_key"), strip(F.col(label)).alias("_label"), F.col(position).alias("_at")
     ).filter((F.col("_key") != "") & (F.col("_label") != ""))
     last = given.groupBy("_key").agg(F.max_by("_label", F.struct("_at", "_label")).alias("_label"))
+    last = materialize(last, "labels")
     stamp = F.lit(now).cast(current.schema[UPDATED].dataType)
     joined = current.join(last, F.upper(F.col(SUBJECT)) == F.col("_key"), "left")
     hit = F.col("_label").isNotNull()

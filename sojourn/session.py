@@ -41,8 +41,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and return the stored copy.
 
-    For results that several branches of a plan read. Unlike a cache the copy survives lost executors,
-    and unlike ``checkpoint()`` it is computed once and read back with column pruning.
+    Used for results that several branches of a plan read, and for the side of a join that an aggregate
+    has reduced. Unlike a cache the copy survives lost executors, and unlike ``checkpoint()`` it is
+    computed once and read back with column pruning. For joins it has two more merits: the planner
+    knows the size of the stored side and broadcasts it only below its threshold, and beyond that both
+    sides come straight from a shuffle, which is the shape adaptive execution can split hot keys in.
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 IMPORT_ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin1")
 EXPORT_ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "utf-16")
 
-# Encoding names as given by callers and as Java knows them.
-_JAVA_CHARSET = {
+# Encoding names as given by callers and the charset the CSV reader is told. It knows no
+# cp1252, so that is read as ISO-8859-1 and the characters in which the two differ are replaced.
+_CHARSET = {
     "utf-8": "UTF-8",
     "utf-8-sig": "UTF-8",
-    "cp1252": "windows-1252",
+    "cp1252": "ISO-8859-1",
     "latin1": "ISO-8859-1",
     "utf-16": "UTF-16",
 }
 # The bytes that cp1252 leaves undefined.
 _CP1252_GAPS = "81|8D|8F|90|9D"
+_C1_FROM = "".join(chr(b) for b in range(0x80, 0xA0) if f"{b:02X}" not in _CP1252_GAPS.split("|"))
+_C1_TO = _C1_FROM.encode("latin1").decode("cp1252")
 # Cells read as missing.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -40,7 +43,7 @@ def detect_encodings(
     A UTF-16 byte order mark settles the matter when UTF-16 is a candidate. ``encoding`` is NULL where
     no candidate fits.
     """
-    unknown = [c for c in candidates if c not in _JAVA_CHARSET]
+    unknown = [c for c in candidates if c not in _CHARSET]
     if unknown:
         raise ValueError(f"unknown encodings: {', '.join(unknown)}")
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
@@ -88,9 +91,14 @@ def read_csv(
     for (encoding, _), members in sorted(groups.items()):
         part = spark.read.csv(
             sorted(members), header=True, inferSchema=False, quote='"', escape='"',
-            encoding=_JAVA_CHARSET[encoding], multiLine=multi_line or encoding == "utf-16",
+            encoding=_CHARSET[encoding], multiLine=multi_line or encoding == "utf-16",
         )
-        cells = [F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c.lstrip("﻿")) for c in part.columns]
+        cells = []
+        for header in part.columns:
+            cell, name = F.col(f"`{header}`"), header.lstrip("\ufeff")
+            if encoding == "cp1252":
+                cell, name = F.translate(cell, _C1_FROM, _C1_TO), name.translate(str.maketrans(_C1_FROM, _C1_TO))
+            cells.append(F.when(~cell.isin(*MISSING), cell).alias(name))
         part = part.select(
             *cells,
             F.col("_metadata.file_name").alias(SOURCE_FILE),
@@ -107,7 +115,7 @@ def read_csv(
 def export_csv(df: DataFrame, path: str, byte_order_mark: bool = True) -> None:
     """Write CSV with a header; each part starts with the mark spreadsheet programs look for."""
     if byte_order_mark:
-        df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     writer = df.write.option("header", True).option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
