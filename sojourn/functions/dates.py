@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions.text import strip
@@ -22,22 +23,60 @@ def as_date(value: AsOf) -> Column:
 
 
 def _date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), month, day), "yyyy-M-d")
+    """Date of three whole numbers, NULL unless it exists. Checked by arithmetic: letting a parser
+    fail costs an exception per row."""
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    exists = (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= last)
+    return F.when(exists, F.make_date(year, month, day))
+
+
+def _part(text: Column, place: int) -> Column:
+    return F.get(F.split(text, r"[/\-.]", 3), F.lit(place))
+
+
+def _number(part: Column, most: int) -> Column:
+    """The digits a part starts with, at most so many."""
+    return F.regexp_extract(part, rf"^\d{{1,{most}}}", 0).try_cast("int")
+
+
+def _year_last(first: Column, second: Column, digits: Column) -> Column:
+    year = F.when(digits < 50, digits + 2000).when(digits < 100, digits + 1900).otherwise(digits)
+    return F.coalesce(_date_of(year, second, first), _date_of(year, first, second))
+
+
+def _date_from(text: Column, first: Column, second: Column, third: Column, digits: Column) -> Column:
+    return F.when(text.rlike(_YEAR_FIRST), _date_of(first, second, third)).when(
+        text.rlike(_YEAR_LAST), _year_last(first, second, digits)
+    )
 
 
 def parse_date(c: Column) -> Column:
     """Date from text: year first, else day first, else month first. NULL when none of them fits.
 
-    A two-digit year below 50 is in the 2000s, any other in the 1900s.
+    A two-digit year below 50 is in the 2000s, any other in the 1900s. For columns of large tables
+    ``parse_dates`` is faster.
     """
     text = strip(c)
-    first = [F.regexp_extract(text, _YEAR_FIRST, i) for i in (1, 3, 4)]
-    a, b, y = (F.regexp_extract(text, _YEAR_LAST, i) for i in (1, 2, 3))
-    number = y.try_cast("int")
-    year = (
-        F.when(number < 50, number + 2000).when(number < 100, number + 1900).otherwise(number)
-    ).cast("string")
-    return F.coalesce(_date_of(*first), _date_of(year, b, a), _date_of(year, a, b))
+    first, second = _part(text, 0).try_cast("int"), _part(text, 1).try_cast("int")
+    return _date_from(text, first, second, _number(_part(text, 2), 2), _number(_part(text, 2), 4))
+
+
+def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace text columns by their dates. Text, parts and numbers are each worked out in a step of
+    their own, so that later steps can use them many times."""
+    steps = df.withColumns({c: strip(F.col(c)) for c in columns})
+    steps = steps.withColumns({f"_{c}_parts": F.split(F.col(c), r"[/\-.]", 3) for c in columns})
+    numbers = {}
+    for c in columns:
+        first, second, third = (F.get(f"_{c}_parts", F.lit(i)) for i in range(3))
+        numbers |= {
+            f"_{c}_1": first.try_cast("int"), f"_{c}_2": second.try_cast("int"),
+            f"_{c}_3": _number(third, 2), f"_{c}_year": _number(third, 4),
+        }
+    steps = steps.withColumns(numbers)
+    dates = {c: _date_from(*[F.col(f) for f in (c, f"_{c}_1", f"_{c}_2", f"_{c}_3", f"_{c}_year")]) for c in columns}
+    return steps.withColumns(dates).select(*df.columns)
 
 
 def format_date(c: Column, pattern: str = "dd/MM/yyyy") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Whitespace as Unicode has it, plus the four ASCII separator controls.
 _SPACE = r"\s\x1c-\x1f"
 _ANY_SPACE = f"(?U)[{_SPACE}]+"
-_EDGE_SPACE = f"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
+_SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Letters that have no canonical decomposition, and their usual Latin spelling.
 _SPELLED = {
@@ -44,7 +44,7 @@ _FOLD_FROM, _FOLD_TO = _latin_folding()
 
 def strip(c: Column) -> Column:
     """Trim every kind of Unicode whitespace; SQL ``trim`` only knows the plain space."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACE_CHARACTERS))
 
 
 def view_key(c: Column) -> Column:

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Parquet grows about threefold in memory; broadcast decisions compare the grown size.
+    "spark.sql.sources.fileCompressionFactor": "3.0",
 }
 
 
@@ -27,6 +29,16 @@ def build_session(master: str | None = None, app: str = "sojourn", **extra: str)
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer splits than there are cores.
+
+    That happens to small tables, which may be a single row group. A large table has more splits than
+    cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder in ``spark.checkpoint.dir``.
 

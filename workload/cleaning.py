@@ -65,7 +65,8 @@ def typed_dates(spark, sf):
 
 
 def parse_dates(spark, sf):
-    return typed_dates(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", dt.parse_date(F.col("typed")).alias("parsed"))
+    rows = typed_dates(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", F.col("typed").alias("parsed"))
+    return dt.parse_dates(rows, ["parsed"])
 
 
 def date_functions(spark, sf):

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from sojourn.functions.text import contains_any
 from sojourn.operators import filters as fl
 from sojourn.operators import reports as rp
-from sojourn.operators.search import newest_first, page, page_info
+from sojourn.operators.search import page_info
+from sojourn.plans import reports as pr
+from sojourn.session import materialize, scratch_dir
+from sojourn.sources.files import read_csv, write_report
 from workload.intervals import profiles
 from workload.tables import AS_OF, AS_OF_SQL, STATUSES, spellings, sql, stays, table
 
@@ -60,10 +63,33 @@ def label_counts(spark, sf):
     return rp.label_by_category(profiles(spark, sf), label_groups())
 
 
+ASKED = pr.ReportFilter(AS_OF, start=FROM, end=TO)
+CURRENT_ONLY = pr.ReportFilter(AS_OF, start=FROM, end=TO, groups="AFRICA", spellings=NATIONS, state=fl.CURRENT)
+
+
 def narrative(spark, sf):
-    kept = profiles(spark, sf).filter(fl.date_filter(AS_OF, FROM, TO))
-    top = rp.stats_by(kept, "category", 10)
-    return rp.narrative(rp.summary_stats(kept, STATUSES), top, STATUSES, FROM, TO)
+    return pr.narrative(profiles(spark, sf), ASKED, STATUSES)
+
+
+def person_page(spark, sf):
+    return brief(pr.person_list(profiles(spark, sf), pr.ReportFilter(AS_OF, start=FROM), 200, 400)[0])
+
+
+def current_by_label(spark, sf):
+    """Current stays of one group; the date range does not apply to them."""
+    return pr.narrative_by_label(profiles(spark, sf), CURRENT_ONLY, label_groups(), LABELS)
+
+
+def written_report(spark, sf):
+    """The three report parts as written to files: the rows of each part."""
+    path = scratch_dir(spark, "report")
+    kept = materialize(profiles(spark, sf).filter(ASKED.by_stay()), "report-input")
+    metrics = rp.report_metrics(rp.summary_stats(kept, STATUSES), METRICS)
+    write_report(path, metrics, rp.report_by_category(rp.stats_by(kept)), rp.report_rows(kept, HEADINGS))
+    return rp.table_counts(
+        {part: read_csv(spark, f"{path}/{part}") for part in ("metrics", "by_category", "details")},
+        ("metrics", "by_category", "details"),
+    )
 
 
 def table_counts(spark, sf):
@@ -90,13 +116,15 @@ QUERIES = {
     "summary_stats_empty": stats_empty,
     "stats_by_category": lambda s, d: rp.stats_by(profiles(s, d)),
     "stats_by_label_category": label_counts,
-    "person_page": lambda s, d: brief(page(profiles(s, d), newest_first(), 200, 400)),
+    "person_page": person_page,
     "page_info": lambda s, d: page_info(profiles(s, d).filter(fl.date_filter(AS_OF, FROM)), 200, 400),
     "page_past_end": lambda s, d: page_info(profiles(s, d), 200, 10_000_000),
     "report_rows": lambda s, d: rp.report_rows(profiles(s, d), HEADINGS),
     "report_metrics": lambda s, d: rp.report_metrics(stats(s, d), METRICS),
     "report_by_category": lambda s, d: rp.report_by_category(top_categories(s, d)),
     "narrative_lines": narrative,
+    "narrative_current": current_by_label,
+    "report_files": written_report,
     "narrative_by_label": lambda s, d: rp.narrative_by_label(label_counts(s, d), LABELS),
     "last_update": lambda s, d: rp.last_update(stays(s, d)),
     "table_counts": table_counts,
@@ -119,6 +147,11 @@ _LABELLED = """SELECT CASE WHEN lower(status) LIKE '%work%' THEN 'Work'
     WHEN lower(status) LIKE '%family%' OR lower(status) LIKE '%review%' THEN 'Family and visits' END AS label_group,
     category, count(*) AS n FROM prof WHERE label_group IS NOT NULL GROUP BY ALL"""
 
+_LINES = """SELECT CASE label_group WHEN 'Work' THEN 1 ELSE 2 END AS line_no,
+  label_group || ': ' || string_agg(category || ': ' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || ' people', '; '
+    ORDER BY n DESC, category) || '. Total: ' || CAST(sum(n) AS BIGINT) || ' people.' AS text
+  FROM labelled GROUP BY label_group"""
+
 ORACLES = {
     "filter_dates": _where(f"start_date >= DATE '{FROM}' AND (end_date IS NULL OR end_date <= DATE '{TO}')"),
     "filter_min_days": _where(f"days_1y >= 60 AND (end_date IS NULL OR end_date >= {AS_OF_SQL})"),
@@ -143,7 +176,7 @@ ORACLES = {
     "summary_stats_empty": sql(f"SELECT {_COUNTS} FROM prof WHERE days_1y >= 100000", "prof"),
     "stats_by_category": sql(_TOP.format("prof", 20), "prof"),
     "stats_by_label_category": sql(_LABELLED, "prof"),
-    "person_page": sql(f"{_BRIEF} ORDER BY start_date DESC NULLS LAST, subject LIMIT 200 OFFSET 400", "prof"),
+    "person_page": sql(f"{_BRIEF} WHERE start_date >= DATE '{FROM}' ORDER BY start_date DESC NULLS LAST, subject LIMIT 200 OFFSET 400", "prof"),
     "page_info": sql(
         f"""SELECT count(*) AS total, CAST(greatest(least(count(*) - 400, 200), 0) AS BIGINT) AS page_rows,
         count(*) > 600 AS has_more, CAST(400 AS BIGINT) AS "offset", CAST(200 AS BIGINT) AS "limit"
@@ -190,11 +223,14 @@ ORACLES = {
         kept=f"FROM prof WHERE start_date >= DATE '{FROM}' AND (end_date IS NULL OR end_date <= DATE '{TO}')",
         totals=f"SELECT {_COUNTS} FROM kept", top=_TOP.format("kept", 10),
     ),
-    "narrative_by_label": sql(
-        """SELECT CASE label_group WHEN 'Work' THEN 1 ELSE 2 END AS line_no,
-        label_group || ': ' || string_agg(category || ': ' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || ' people', '; '
-          ORDER BY n DESC, category) || '. Total: ' || CAST(sum(n) AS BIGINT) || ' people.' AS text
-        FROM labelled GROUP BY label_group""", "prof", labelled=_LABELLED,
+    "narrative_by_label": sql(_LINES, "prof", labelled=_LABELLED),
+    "narrative_current": sql(_LINES, "prof", labelled=_LABELLED.replace(
+        "WHERE", f"WHERE category IN ({_IN}) AND (end_date IS NULL OR end_date > {AS_OF_SQL}) AND"
+    )),
+    "report_files": sql(
+        """SELECT 'metrics' AS table_name, CAST(8 AS BIGINT) AS n UNION ALL SELECT 'details', count(*) FROM kept
+        UNION ALL SELECT 'by_category', least(count(DISTINCT category), 20) FROM kept""", "prof",
+        kept=f"FROM prof WHERE start_date >= DATE '{FROM}' AND (end_date IS NULL OR end_date <= DATE '{TO}')",
     ),
     "last_update": sql(
         "SELECT coalesce(strftime(max(updated_at), '%d/%m/%Y %H:%M'), 'no data') AS last_update FROM stays", "stays"

@@ -9,6 +9,7 @@ from sojourn.functions.text import contains_any, not_blank
 from sojourn.operators import classify as cl
 from sojourn.operators import reports as rp
 from sojourn.operators import search as se
+from sojourn.plans import reports as pr
 from sojourn.session import materialize
 from workload.intervals import profiles
 from workload.tables import AS_OF, AS_OF_SQL, PRIORITY, lookups, spellings, sql, stays, table
@@ -84,36 +85,36 @@ def stored_profiles(spark, sf):
 
 
 def flagged(stored):
-    minor = year_age(F.col("birth_date"), AS_OF) < 18
-    return cl.group_flag(stored, ["start_date", "place"], minor, "minor_in_group")
-
-
-def decided(stored):
-    place = F.col("place")
-    rules = [
-        (not_blank(F.col("verified_label")).isNotNull(), F.col("verified_label")),
-        (F.col("status") != "", F.col("status")),
-        (F.col("minor_in_group") == 1, "FAMILY (presumed)"),
-        (contains_any(place, ["anvil", "gizmo"]), "WORK (presumed)"),
-        (contains_any(place, ["plate"]), "OTHER"),
-        (F.col("days_1y") >= 3, "WORK (presumed)"),
-    ]
-    return cl.rule_cascade(flagged(stored), rules, "OTHER")
-
-
-def classes():
-    decision = F.col("decision")
-    work, family = contains_any(decision, ["work"]), contains_any(decision, ["family", "review"])
-    return {"work": work, "travel": F.lit(False), "family": family, "other": ~work & ~family}
+    return cl.group_flag(stored, ["start_date", "place"], decision().companion, "minor_in_group")
+
+
+def decision():
+    place, decided = F.col("place"), F.col("decision")
+    work, family = contains_any(decided, ["work"]), contains_any(decided, ["family", "review"])
+    return pr.Decision(
+        companion=year_age(F.col("birth_date"), AS_OF) < 18,
+        rules=[
+            (not_blank(F.col("verified_label")).isNotNull(), F.col("verified_label")),
+            (F.col("status") != "", F.col("status")),
+            (F.col("minor_in_group") == 1, "FAMILY (presumed)"),
+            (contains_any(place, ["anvil", "gizmo"]), "WORK (presumed)"),
+            (contains_any(place, ["plate"]), "OTHER"),
+            (F.col("days_1y") >= 3, "WORK (presumed)"),
+        ],
+        default="OTHER",
+        classes={"work": work, "travel": F.lit(False), "family": family, "other": ~work & ~family},
+        flag="minor_in_group",
+    )
 
 
 def matrix(spark, sf, limit=50):
-    stored = stored_profiles(spark, sf)
-    return rp.matrix(decided(stored), stored.agg(F.count(F.lit(1)).alias("total")), classes(), limit=limit)
+    asked = pr.ReportFilter(AS_OF, start="1998-01-01")
+    needed = ["birth_date", "verified_label", "status", "days_1y"]
+    return pr.matrix_report(profiles(spark, sf), asked, decision(), needed, limit)
 
 
 def matrix_totals(spark, sf):
-    return rp.matrix_totals(matrix(spark, sf, 10), list(classes()))
+    return rp.matrix_totals(matrix(spark, sf, 10), ["work", "travel", "family", "other"])
 
 
 def keyword_flags(spark, sf):
@@ -139,7 +140,7 @@ QUERIES = {
     "rule_score_level": lambda s, d: rule_score(s, d, "HIGH"),
     "rule_reasons": rule_reasons,
     "group_flag": lambda s, d: flagged(stored_profiles(s, d)).select("subject", "start_date", "place", "minor_in_group"),
-    "rule_cascade": lambda s, d: decided(stored_profiles(s, d)).select("subject", "minor_in_group", "decision"),
+    "rule_cascade": lambda s, d: pr.decide(stored_profiles(s, d), decision()).select("subject", "minor_in_group", "decision"),
     "matrix_report": matrix,
     "matrix_totals": matrix_totals,
     "keyword_flags": keyword_flags,
@@ -176,6 +177,7 @@ _COUNTED = """SELECT upper(trim(coalesce(category, 'UNKNOWN'))) AS category, cou
 _MATRIX = """SELECT *, round(n * 100.0::DOUBLE / (SELECT sum(n) FROM counted), 2) AS percent FROM counted
   ORDER BY n DESC, category LIMIT {}"""
 _CASCADE = {"flagged": _FLAGGED, "decided": _DECIDED}
+_SINCE_1998 = {"flagged": f"{_FLAGGED} WHERE start_date >= DATE '1998-01-01'", "decided": _DECIDED}
 
 ORACLES = {
     "search_fuzzy": sql(
@@ -205,11 +207,11 @@ ORACLES = {
     "rule_reasons": sql("SELECT subject, reason FROM scored", "prof", scored=_SCORED),
     "group_flag": sql("SELECT subject, start_date, place, minor_in_group FROM flagged", "prof", flagged=_FLAGGED),
     "rule_cascade": sql("SELECT subject, minor_in_group, decision FROM decided", "prof", **_CASCADE),
-    "matrix_report": sql(_MATRIX.format(50), "prof", **_CASCADE, counted=_COUNTED),
+    "matrix_report": sql(_MATRIX.format(50), "prof", **_SINCE_1998, counted=_COUNTED),
     "matrix_totals": sql(
         """SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(work) AS BIGINT) AS work, CAST(sum(travel) AS BIGINT) AS travel,
         CAST(sum(family) AS BIGINT) AS family, CAST(sum(other) AS BIGINT) AS other, count(*) AS categories FROM shown""",
-        "prof", **_CASCADE, counted=_COUNTED, shown=_MATRIX.format(10),
+        "prof", **_SINCE_1998, counted=_COUNTED, shown=_MATRIX.format(10),
     ),
     "keyword_flags": """
       WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.text import norm_key
 from sojourn.operators.lookups import Lookup
+from sojourn.session import spread
 
 AS_OF = "2001-06-30"
 NOW = dt.datetime(2001, 7, 1, 8, 30)
@@ -21,8 +22,13 @@ STATUSES = {"attention": "ATTENTION", "work": "WORK", "family": "FAMILY", "study
 PRIORITY = list(STATUSES.values())
 
 
+#: Tables with one row per fact, worth spreading over all cores even when they are one small file.
+FACTS = ("lineitem", "orders", "events", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in FACTS else rows
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
