@@ -217,12 +217,14 @@ def test_drop_folder(spark, make_stays, tmp_path):
     path = str(tmp_path / "fact")
     tables.append_stays(make_stays({"subject": "AB123", "start": "2025-01-01", "name": "before", "label": "KEEP"}), path)
     (tmp_path / "in").mkdir()
+    counts = []
 
     def drop(name, *lines):
         (tmp_path / "in" / name).write_text("Passport,Họ tên,Ngày đến,Ngày đi\n" + "\n".join(lines), encoding="utf-8")
         query = ingest_folder(
             spark, str(tmp_path / "in"), str(tmp_path / "done"), str(tmp_path / "state"), path,
             ["Passport", "Họ tên", "Ngày đến", "Ngày đi"], lambda: NOW, [],
+            report=lambda batch_id, summary, checked: counts.append((batch_id, *summary.first())),
         )
         query.awaitTermination()
         assert query.exception() is None
@@ -232,4 +234,5 @@ def test_drop_folder(spark, make_stays, tmp_path):
     assert first == [("AB123", "after", "KEEP", "one.csv"), ("CD456", "new", None, "one.csv")]
     second = drop("two.csv", "CD456,corrected,02/01/2025,03/01/2025")
     assert second == [("AB123", "after", "KEEP", "one.csv"), ("CD456", "corrected", None, "two.csv")]
+    assert counts == [(0, 2, 1, 1, 1, 1, 0), (1, 1, 0, 1, 0, 0, 0)]
     assert list((tmp_path / "done").rglob("one.csv"))  # archived once a later run had begun
