@@ -23,12 +23,11 @@ def as_date(value: AsOf) -> Column:
 
 
 def _date_of(year: Column, month: Column, day: Column) -> Column:
-    """Date of three whole numbers, NULL unless it exists. Checked by arithmetic: letting a parser
-    fail costs an exception per row."""
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    exists = (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= last)
-    return F.when(exists, F.make_date(year, month, day))
+    """Date of three whole numbers, NULL unless it exists. The usual failure, day and month swapped, is
+    caught by comparison, since a failing constructor costs an exception per row."""
+    none = F.lit(0)
+    midnight = F.try_make_timestamp_ntz(years=year, months=month, days=day, hours=none, mins=none, secs=none)
+    return F.when((year > 0) & month.between(1, 12) & day.between(1, 31), midnight.cast("date"))
 
 
 def _part(text: Column, place: int) -> Column:

@@ -90,13 +90,13 @@ def _island_columns(as_of: AsOf, open_island: str) -> list[Column]:
         _effective_end(as_of, open_island).alias("island_end_eff"),
         F.max(END).alias("island_end_real"),
         distinct_text("place").alias("island_places"),
-        F.max_by(LABEL, F.struct(UPDATED, START)).alias("island_label"),
     ]
 
 
 def islands(tagged: DataFrame, as_of: AsOf, open_island: str = "last_closed") -> DataFrame:
     """One row per island: its range, the places seen in it and its newest label."""
-    return tagged.groupBy(SUBJECT, "island_id").agg(*_island_columns(as_of, open_island))
+    label = F.max_by(LABEL, F.struct(UPDATED, START)).alias("island_label")
+    return tagged.groupBy(SUBJECT, "island_id").agg(*_island_columns(as_of, open_island), label)
 
 
 def latest_island(island_rows: DataFrame) -> DataFrame:
@@ -148,21 +148,24 @@ def subject_summary(
     Every figure is carried through the island aggregate in a form the subject aggregate can finish,
     so neither level needs another shuffle or a join back to the intervals.
     """
-    version = F.struct(UPDATED, START)
+    # Structs compare field by field, and no subject has a start date twice: the greatest struct that
+    # leads with the order columns is the row wanted, for half the buffers that ``max_by`` keeps.
+    newest = F.max(F.struct(UPDATED, START, LABEL, "name", "birth_date", "category"))
     per_island = tagged.groupBy(SUBJECT, "island_id").agg(
         *_island_columns(as_of, open_island),
         F.count_if(is_recent(as_of, days)).alias("recent"),
-        F.max_by(F.struct("name", "birth_date", "category"), version).alias("person"),
-        F.max(version).alias("person_version"),
+        newest.alias("newest"),
     )
-    last = F.max_by(
-        F.struct("island_start", "island_end_real", "island_end_eff", "island_places", "island_label"),
-        F.struct("island_end_eff", "island_start"),
+    last = F.max(
+        F.struct(
+            "island_end_eff", "island_start", "island_end_real", "island_places",
+            F.col(f"newest.{LABEL}").alias("island_label"),
+        )
     )
     return (
         per_island.groupBy(SUBJECT)
         .agg(
-            F.max_by("person", "person_version").alias("p"),
+            F.max("newest").alias("p"),
             last.alias("i"),
             F.sum("recent").alias("arrivals_1y"),
             F.coalesce(F.sum(window_days(as_of, days)), F.lit(0)).alias("days_1y"),
@@ -170,7 +173,9 @@ def subject_summary(
         )
         .select(
             SUBJECT,
-            "p.*",
+            "p.name",
+            "p.birth_date",
+            "p.category",
             F.col("i.island_start").alias(START),
             F.col("i.island_end_real").alias(END),
             F.col("i.island_places").alias("place"),

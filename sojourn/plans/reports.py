@@ -13,7 +13,7 @@ from sojourn.operators import reports as rp
 from sojourn.operators.classify import Rules, Scoring, group_flag, rule_cascade, rule_score
 from sojourn.operators.filters import CURRENT, all_of, date_filter, days_filter, group_filter, state_filter
 from sojourn.operators.search import PAGE_ROWS, newest_first, page, page_info
-from sojourn.schema import START, SUBJECT
+from sojourn.schema import END, START, SUBJECT
 from sojourn.session import materialize
 
 
@@ -74,8 +74,11 @@ def person_list(
 
 
 def narrative(profiles: DataFrame, asked: ReportFilter, statuses: Mapping[str, str]) -> DataFrame:
-    stats = statistics(profiles, asked, statuses)
-    top = statistics_by_category(profiles, asked, 10)
+    """Short report. Totals and category table read one stored copy of the few columns they need."""
+    needed = profiles.filter(asked.by_category()).select(START, END, "category", "status", "days_1y")
+    stored = materialize(needed, "narrative-input")
+    stats = statistics(stored, asked, statuses)
+    top = statistics_by_category(stored, asked, 10)
     return rp.narrative(stats, top, statuses, asked.start, asked.end, asked.min_days)
 
 

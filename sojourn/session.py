@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Parquet grows about threefold in memory; broadcast decisions compare the grown size.
     "spark.sql.sources.fileCompressionFactor": "3.0",
+    # HotSpot does not compile methods above 8000 bytes. A stage that would need one (an import with its
+    # many checks) runs faster as separate operators whose code is split.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,14 +32,15 @@ def build_session(master: str | None = None, app: str = "sojourn", **extra: str)
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over the cores when its files give fewer splits than there are cores.
 
     That happens to small tables, which may be a single row group. A large table has more splits than
-    cores and is returned as it is.
+    cores and is returned as it is. Spreading by near-unique keys spares the sort that a repeatable
+    round-robin needs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

@@ -23,12 +23,12 @@ PRIORITY = list(STATUSES.values())
 
 
 #: Tables with one row per fact, worth spreading over all cores even when they are one small file.
-FACTS = ("lineitem", "orders", "events", "documents")
+FACTS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in FACTS else rows
+    return spread(rows, FACTS[name]) if name in FACTS else rows
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
