@@ -135,8 +135,11 @@ def search_batch(
     key: str = "key",
     position: str = "pos",
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of the profiles of the listed keys, by priority, and its page information."""
-    found = search_batch_all(stays, lookups, keys, as_of, key, position)
+    """One page of the profiles of the listed keys, by priority, and its page information.
+
+    There are at most ``MAX_KEYS`` profiles; they are stored once for both results.
+    """
+    found = materialize(search_batch_all(stays, lookups, keys, as_of, key, position), "search-batch")
     return page(found, by_priority(priority), limit, offset), page_info(found, limit, offset)
 
 

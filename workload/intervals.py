@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sojourn.operators import intervals as iv
 from sojourn.operators.lookups import attach_lookups, merge_lookup
 from sojourn.plans.profile import profile
-from workload.tables import AS_OF, lookups, sql, stays, table
+from workload.tables import AS_OF, HOT_STAYS, lookups, sql, stays, table
 
 
 def versions(spark, sf):
@@ -26,6 +26,11 @@ def profiles(spark, sf):
     return profile(stays(spark, sf), lookups(spark, sf), AS_OF)
 
 
+def profile_hot_subject(spark, sf):
+    """One subject holds a third of all rows."""
+    return profile(stays(spark, sf, hot=True), lookups(spark, sf), AS_OF)
+
+
 def event_islands(spark, sf):
     """Runs of active days per user; a day without events ends a run."""
     days = iv.day_intervals(table(spark, sf, "events"), "user_id", "ts")
@@ -78,6 +83,7 @@ QUERIES = {
     "days_1y": lambda s, d: iv.days_in_window(islands(s, d), AS_OF),
     "days_lifetime": lambda s, d: iv.days_lifetime(islands(s, d), AS_OF),
     "profile": profiles,
+    "profile_hot_subject": profile_hot_subject,
     "event_islands": event_islands,
     "lookup_status": lookup_status,
     "lookup_details": lookup_details,
@@ -108,6 +114,7 @@ ORACLES = {
     "days_1y": sql("SELECT * FROM days1y", "days1y"),
     "days_lifetime": sql("SELECT * FROM life", "life"),
     "profile": sql("SELECT * FROM prof", "prof"),
+    "profile_hot_subject": sql("SELECT * FROM prof", "prof", stays=HOT_STAYS),
     "event_islands": """
       WITH d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject, CAST(ts AS DATE) AS day FROM events),
       n AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY subject ORDER BY day) AS INTEGER) AS run FROM d),

@@ -69,8 +69,11 @@ def verified_label():
     )
 
 
-def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys with case and space noise, some NULL starts, recent ones open, several versions per key."""
+def stays(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
+    """Keys with case and space noise, some NULL starts, recent ones open, several versions per key.
+
+    With ``hot`` every third order belongs to one and the same subject.
+    """
     ship = F.col("l_shipdate").cast("date")
     still_open = (
         (F.col("l_returnflag") == "N")
@@ -78,6 +81,8 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
         & (F.col("l_shipdate") >= F.lit("2001-03-01").cast("timestamp_ntz"))
     )
     noisy = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit(" "), F.lower("c_name"))).otherwise(F.col("c_name"))
+    if hot:
+        noisy = F.when(F.col("l_orderkey") % 3 == 0, "Hot Subject").otherwise(noisy)
     return lines(spark, sf_dir).select(
         noisy.alias("subject"),
         F.concat("c_name", F.lit(" "), F.substr("o_orderpriority", F.lit(3))).alias("name"),
@@ -293,6 +298,8 @@ _CTES = {
       QUALIFY row_number() OVER (PARTITION BY subject, start_date ORDER BY l_orderkey DESC, l_linenumber DESC,
         l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1""",
 }
+#: Every third order under one subject, as ``stays(hot=True)`` has it.
+HOT_STAYS = _CTES["stays"].replace("SELECT CASE", "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'Hot Subject'", 1)
 _NEEDS = {
     "versions": ["stays"], "reaches": ["versions"], "flags": ["reaches"], "tags": ["flags"], "isl": ["tags"],
     "last_isl": ["isl"], "person": ["versions"], "days1y": ["isl"], "life": ["isl"], "arr": ["versions"],
@@ -302,7 +309,7 @@ _NEEDS = {
 
 
 def sql(select: str, *needs: str, **more: str) -> str:
-    """A query over the named relations (and ``more`` ones, defined after them)."""
+    """A query over the named relations and ``more`` ones, which follow them or replace one of them."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -314,6 +321,6 @@ def sql(select: str, *needs: str, **more: str) -> str:
     for name in needs:
         visit(name)
     # Named relations used more than once are computed once.
-    parts = [f"{name} AS MATERIALIZED ({_CTES[name]})" for name in order]
+    parts = [f"{name} AS MATERIALIZED ({more.pop(name, _CTES[name])})" for name in order]
     parts += [f"{name} AS ({body})" for name, body in more.items()]
     return f"WITH {', '.join(parts)} {select}" if parts else select
