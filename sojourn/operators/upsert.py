@@ -24,6 +24,12 @@ ACTION = "action"
 KEPT, UPDATED_ROW, INSERTED = "kept", "updated", "inserted"
 
 
+def _stamp(now: dt.datetime, current: DataFrame) -> Column:
+    """The load time as wall-clock time. As text, since a datetime literal would be an instant and shift
+    with the session's time zone."""
+    return F.lit(now.isoformat(sep=" ")).cast(current.schema[UPDATED].dataType)
+
+
 def last_per_key(batch: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """The last input row of each key."""
     rest = [c for c in batch.columns if c not in (*keys, position)]
@@ -65,7 +71,7 @@ def upsert_latest(
     null_safe: bool = False,
 ) -> DataFrame:
     """``upsert_tagged`` for a stored batch that already has one row per key."""
-    stamp = F.lit(now).cast(current.schema[UPDATED].dataType)
+    stamp = _stamp(now, current)
     hit = F.col("_hit").isNotNull()
     incoming = _prefixed(latest, [*keys, *attributes, LABEL]).withColumn("_hit", F.lit(True))
     joined = current.join(incoming, _same(keys, null_safe), "left")
@@ -121,7 +127,7 @@ def apply_labels(
     ).filter((F.col("_key") != "") & (F.col("_label") != ""))
     last = given.groupBy("_key").agg(F.max_by("_label", F.struct("_at", "_label")).alias("_label"))
     last = materialize(last, "labels")
-    stamp = F.lit(now).cast(current.schema[UPDATED].dataType)
+    stamp = _stamp(now, current)
     joined = current.join(last, F.upper(F.col(SUBJECT)) == F.col("_key"), "left")
     hit = F.col("_label").isNotNull()
     return joined.withColumns(

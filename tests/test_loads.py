@@ -102,6 +102,17 @@ def test_upsert(upsert_case):
     assert tagged.filter("action = 'kept'").filter(F.year("updated_at") == 2025).isEmpty()
 
 
+def test_load_time_does_not_shift_with_the_time_zone(spark, upsert_case):
+    current, batch = upsert_case
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        tagged = up.upsert_tagged(current, batch, NOW, "position").filter("action <> 'kept'")
+        assert {r.updated_at for r in tagged.collect()} == {NOW}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_upsert_twice_adds_only_undated_rows(upsert_case):
     current, batch = upsert_case
     once = up.upsert(current, batch, NOW, "position")
