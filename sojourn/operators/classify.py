@@ -72,16 +72,16 @@ def reasons(scoring: Scoring) -> Column:
     return F.when(texts == "", scoring.default_reason).otherwise(texts)
 
 
-def rule_score(df: DataFrame, scoring: Scoring, tie: str, limit: int = 100, only_level: str | None = None) -> DataFrame:
-    """The highest-scoring rows with level and reasons.
+def rule_score(df: DataFrame, scoring: Scoring, tie: str, limit: int | None = 100, only_level: str | None = None) -> DataFrame:
+    """The highest-scoring rows with level and reasons; all of them if ``limit`` is None.
 
-    ``only_level`` is applied to the rows left by ``limit``, so fewer than ``limit`` may remain;
-    filter on ``level`` before calling to get as many as there are.
+    ``only_level`` picks the rows before ``limit`` counts them.
     """
-    scored = df.withColumn("score", score(scoring)).filter("score > 0")
-    top = scored.orderBy(F.desc("score"), F.asc(tie)).limit(limit)
-    named = top.withColumn("level", level(scoring, F.col("score"))).withColumn("reason", reasons(scoring))
-    return named.filter(F.col("level") == only_level) if only_level else named
+    scored = df.withColumn("score", score(scoring)).filter("score > 0").withColumn("level", level(scoring, F.col("score")))
+    if only_level:
+        scored = scored.filter(F.col("level") == only_level)
+    top = scored.orderBy(F.desc("score"), F.asc(tie))
+    return (top if limit is None else top.limit(limit)).withColumn("reason", reasons(scoring))
 
 
 def rule_cascade(df: DataFrame, rules: Rules, default: str, column: str = "decision") -> DataFrame:

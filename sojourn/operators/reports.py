@@ -28,10 +28,11 @@ def summary_stats(profiles: DataFrame, statuses: Mapping[str, str]) -> DataFrame
     )
 
 
-def stats_by(profiles: DataFrame, column: str = "category", limit: int = 20) -> DataFrame:
-    """Largest groups with how many of their rows are open."""
+def stats_by(profiles: DataFrame, column: str = "category", limit: int | None = 20) -> DataFrame:
+    """Largest groups with how many of their rows are open; all groups if ``limit`` is None."""
     grouped = profiles.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_open()).alias("open_count"))
-    return grouped.orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(limit)
+    ordered = grouped.orderBy(F.desc("n"), F.asc_nulls_last(column))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def label_by_category(profiles: DataFrame, groups: Rules, column: str = "category") -> DataFrame:
@@ -117,10 +118,10 @@ def matrix(
     grand_total: DataFrame,
     classes: Mapping[str, Column],
     column: str = "category",
-    limit: int = 50,
+    limit: int | None = 50,
     unknown: str = "UNKNOWN",
 ) -> DataFrame:
-    """Category by class counts with each category's share of all rows; the largest categories only.
+    """Category by class counts with each category's share of all rows; the largest categories, or all if ``limit`` is None.
 
     ``grand_total`` is one row with ``total``, counted over every category. It is the only side this
     library broadcasts unchecked by size, being an aggregate without keys.
@@ -132,11 +133,12 @@ def matrix(
     share = F.round(F.col("n").cast("double") * 100 / F.nullif(F.col("total"), F.lit(0)), 2)
     joined = counted.crossJoin(F.broadcast(grand_total))
     ranked = joined.withColumn("percent", share).drop("total")
-    return ranked.orderBy(F.desc("n"), F.asc(column)).limit(limit)
+    ordered = ranked.orderBy(F.desc("n"), F.asc(column))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def matrix_totals(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Sums over the categories shown, which may be fewer than all."""
+    """Sums over the given categories: all of them for a matrix without limit, else those shown."""
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *classes)]
     return rows.agg(*sums, F.count(F.lit(1)).alias("categories"))
 

@@ -15,11 +15,8 @@ from sojourn.plans.profile import profile
 from sojourn.schema import START, SUBJECT
 from sojourn.session import materialize
 
-MAX_KEYS = 1000
 MAX_HITS = 100
 PAGE_ROWS = 200
-#: Most keys ever sent to all executors: a few hundred kilobytes.
-BROADCAST_KEYS = 10_000
 
 
 def _squeezed(c: Column) -> Column:
@@ -50,29 +47,26 @@ def search_fuzzy(
     lookups: Sequence[Lookup],
     keyword: str,
     as_of: AsOf,
-    limit: int = MAX_HITS,
+    limit: int | None = MAX_HITS,
     accent_insensitive: bool = False,
 ) -> DataFrame:
-    """The newest ``limit`` profiles that match. Keywords under two characters match nothing.
+    """The newest ``limit`` profiles that match, all of them if None. Keywords under two characters match nothing.
 
-    A profile shows its subject's key and one of its names, so only subjects with a matching raw row
-    can qualify. While those are few, their rows alone are profiled; a keyword that fits more than
-    ``BROADCAST_KEYS`` subjects profiles them all. Either way the profile's own name is tested last.
+    A profile shows its subject's key and one of its names, so only the rows of subjects with a matching
+    raw row are profiled, and the profile's own name is tested last. The subjects are stored while the query
+    is built; the join with them is a broadcast only if their stored size is below the session's threshold.
     """
     hit = matches(keyword, accent_insensitive)
     if len(keyword.strip()) < 2:
         hit = F.lit(False)
     rows = keyed(stays)
-    candidates = rows.filter(hit).select(SUBJECT).distinct().limit(BROADCAST_KEYS + 1)
-    candidates = materialize(candidates, "search-candidates")
-    if candidates.count() <= BROADCAST_KEYS:
-        rows = rows.join(F.broadcast(candidates), SUBJECT, "left_semi")
-    found = profile(rows, lookups, as_of).filter(hit)
-    return found.orderBy(*newest_first()).limit(limit)
+    candidates = materialize(rows.filter(hit).select(SUBJECT).distinct(), "search-candidates")
+    found = profile(rows.join(candidates, SUBJECT, "left_semi"), lookups, as_of).filter(hit)
+    return page(found, newest_first(), limit)
 
 
-def distinct_keys(keys: DataFrame, key: str, position: str, limit: int | None = MAX_KEYS) -> DataFrame:
-    """Normalized keys in the order first seen, each once, at most ``limit``."""
+def distinct_keys(keys: DataFrame, key: str, position: str, limit: int | None = None) -> DataFrame:
+    """Normalized keys, each once with its first position; with ``limit`` only those first seen."""
     normalized = keys.select(norm_key(F.col(key)).alias("key"), F.col(position).alias("pos"))
     first = normalized.filter(F.col("key") != "").groupBy("key").agg(F.min("pos").alias("pos"))
     return first.orderBy("pos", "key").limit(limit) if limit is not None else first
@@ -97,24 +91,44 @@ def search_batch_all(
     as_of: AsOf,
     key: str = "key",
     position: str = "pos",
-    max_keys: int = MAX_KEYS,
+    priority: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Profiles of the listed keys. Rows of other subjects are dropped before any shuffle.
+    """Profiles of all listed keys, however many, by priority if one is given.
 
-    ``distinct_keys`` holds at most ``max_keys`` rows, which is what makes the broadcast safe.
+    The distinct keys are stored while the query is built. Rows of other subjects are dropped before the profile.
     """
-    wanted = distinct_keys(keys, key, position, max_keys).select(F.col("key").alias(SUBJECT))
-    return profile(keyed(stays).join(F.broadcast(wanted), SUBJECT, "left_semi"), lookups, as_of)
+    wanted = distinct_keys(keys, key, position).select(F.col("key").alias(SUBJECT))
+    found = profile(keyed(stays).join(materialize(wanted, "wanted-keys"), SUBJECT, "left_semi"), lookups, as_of)
+    return found.orderBy(*by_priority(priority)) if priority is not None else found
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
-    """One page; top-k in every task, never a full sort."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(df: DataFrame, order: Sequence[Column], limit: int | None = PAGE_ROWS, offset: int = 0) -> DataFrame:
+    """One page, or all rows in order if ``limit`` is None. Top-k in every task, never a full sort.
 
+    ``offset`` is for shallow pages: all rows up to the page's end meet in one task. See ``page_after``.
+    """
+    ordered = df.orderBy(*order)
+    ordered = ordered.offset(offset) if offset else ordered
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def page_after(df: DataFrame, start: AsOf | None, subject: str, limit: int = PAGE_ROWS) -> DataFrame:
+    """The page that follows the row of that start and subject, newest first; its cost does not grow with depth."""
+    if start is None:
+        later = F.col(START).isNull() & (F.col(SUBJECT) > subject)
+    else:
+        at = F.lit(str(start)).cast("date")
+        later = (F.col(START) < at) | F.col(START).isNull() | ((F.col(START) == at) & (F.col(SUBJECT) > subject))
+    return page(df.filter(later), newest_first(), limit)
 
-def page_info(df: DataFrame, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
-    """Total, and whether rows follow this page. The total is right even for a page past the end."""
+
+def page_info(df: DataFrame, limit: int | None = PAGE_ROWS, offset: int = 0) -> DataFrame:
+    """Total, and whether rows follow this page. The total is right even for a page past the end.
+
+    Without ``limit`` the page reaches to the end, and the limit told is the largest number there is.
+    """
     total = F.count(F.lit(1))
+    limit = (1 << 62) if limit is None else limit
     return df.agg(
         total.alias("total"),
         F.greatest(F.least(total - offset, F.lit(limit)), F.lit(0)).cast("long").alias("page_rows"),
@@ -137,7 +151,7 @@ def search_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """One page of the profiles of the listed keys, by priority, and its page information.
 
-    There are at most ``MAX_KEYS`` profiles; they are stored once for both results.
+    The profiles are stored once for both results while the query is built.
     """
     found = materialize(search_batch_all(stays, lookups, keys, as_of, key, position), "search-batch")
     return page(found, by_priority(priority), limit, offset), page_info(found, limit, offset)

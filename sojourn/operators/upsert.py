@@ -70,7 +70,11 @@ def upsert_latest(
     attributes: Sequence[str] = ATTRIBUTES,
     null_safe: bool = False,
 ) -> DataFrame:
-    """``upsert_tagged`` for a stored batch that already has one row per key."""
+    """``upsert_tagged`` for a stored batch that already has one row per key.
+
+    The current table is read once: its rows are stored with the action they underwent, and the keys that
+    matched tell which rows of the batch are new.
+    """
     stamp = _stamp(now, current)
     hit = F.col("_hit").isNotNull()
     incoming = _prefixed(latest, [*keys, *attributes, LABEL]).withColumn("_hit", F.lit(True))
@@ -80,7 +84,9 @@ def upsert_latest(
     values[UPDATED] = F.when(hit, stamp).otherwise(F.col(UPDATED))
     values[ACTION] = F.when(hit, UPDATED_ROW).otherwise(KEPT)
     changed = joined.withColumns(values).select(*current.columns, ACTION)
-    added = new_rows(current, latest, keys, null_safe).withColumn(UPDATED, stamp)
+    changed = materialize(changed, "changed")
+    shared = _prefixed(changed.filter(F.col(ACTION) == UPDATED_ROW), keys).distinct()
+    added = latest.join(shared, _same(keys, null_safe), "left_anti").withColumn(UPDATED, stamp)
     return changed.unionByName(added.select(*current.columns, F.lit(INSERTED).alias(ACTION)))
 
 

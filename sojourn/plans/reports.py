@@ -61,12 +61,12 @@ def statistics(profiles: DataFrame, asked: ReportFilter, statuses: Mapping[str,
     return rp.summary_stats(profiles.filter(asked.by_stay()), statuses)
 
 
-def statistics_by_category(profiles: DataFrame, asked: ReportFilter, limit: int = 20) -> DataFrame:
+def statistics_by_category(profiles: DataFrame, asked: ReportFilter, limit: int | None = 20) -> DataFrame:
     return rp.stats_by(profiles.filter(asked.by_category()), "category", limit)
 
 
 def person_list(
-    profiles: DataFrame, asked: ReportFilter, limit: int = PAGE_ROWS, offset: int = 0
+    profiles: DataFrame, asked: ReportFilter, limit: int | None = PAGE_ROWS, offset: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """One page of profiles, newest first, and its page information."""
     kept = profiles.filter(asked.by_stay())
@@ -86,7 +86,7 @@ def narrative_by_label(profiles: DataFrame, asked: ReportFilter, groups: Rules,
     return rp.narrative_by_label(rp.label_by_category(profiles.filter(asked.by_start()), groups), order)
 
 
-def predictions(profiles: DataFrame, scoring: Scoring, only_level: str | None = None, limit: int = 100) -> DataFrame:
+def predictions(profiles: DataFrame, scoring: Scoring, only_level: str | None = None, limit: int | None = 100) -> DataFrame:
     return rule_score(profiles, scoring, SUBJECT, limit, only_level)
 
 
@@ -109,7 +109,7 @@ def decide(stored: DataFrame, decision: Decision) -> DataFrame:
 
 
 def matrix_report(
-    profiles: DataFrame, asked: ReportFilter, decision: Decision, columns: Sequence[str], limit: int = 50
+    profiles: DataFrame, asked: ReportFilter, decision: Decision, columns: Sequence[str], limit: int | None = 50
 ) -> DataFrame:
     """Category by class matrix. ``columns`` names the profile columns the decision needs.
 

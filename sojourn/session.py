@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,26 +34,37 @@ def build_session(master: str | None = None, app: str = "sojourn", **extra: str)
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer splits than there are cores.
-
-    That happens to small tables, which may be a single row group. A large table has more splits than
-    cores and is returned as it is. Spreading by near-unique keys spares the sort that a repeatable
-    round-robin needs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+#: Folders made within the innermost ``stored_copies`` block.
+_open_runs: list[list[str]] = []
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder in ``spark.checkpoint.dir``.
+def scratch_dir(spark: SparkSession, label: str, scratch: str | None = None) -> str:
+    """A fresh path on shared storage: below ``scratch``, else ``spark.checkpoint.dir``, else the warehouse.
 
-    Only where that setting is missing (tests on one machine) a local temporary folder stands in.
+    Executors exchange the files, so a cluster without any of these on shared storage is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = scratch or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        local = base.startswith(("file:", "/"))
+        if local and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {base} is local")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _open_runs:
+        _open_runs[-1].append(path)
+    return path
+
+
+@contextmanager
+def stored_copies(spark: SparkSession) -> Iterator[None]:
+    """Removes the stored copies made inside the block when it ends; finish with the results before that."""
+    _open_runs.append([])
+    try:
+        yield
+    finally:
+        for path in _open_runs.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

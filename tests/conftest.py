@@ -13,10 +13,10 @@ from sojourn.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("local[4]", "tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR",
+        "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     })
     yield session
     session.stop()

@@ -13,7 +13,7 @@ from sojourn.operators import intervals as iv
 from sojourn.operators import search as se
 from sojourn.operators import upsert as up
 from sojourn.plans.profile import profile
-from sojourn.session import spread
+from sojourn.session import scratch_dir, stored_copies
 from tests.conftest import rows
 from workload.tables import AS_OF, NOW, lookups, stays, table
 
@@ -95,7 +95,10 @@ def test_hot_group_is_split_for_the_group_flag(hot_session):
     assert dict(found) == {i: int(i % 3 == 0 or i % 7 == 0) for i in range(30_000)}
 
 
-def test_hot_key_is_split_for_upsert_labels_and_groups(hot_session, make_stays):
+def test_hot_key_is_split_for_upsert_labels_and_groups(hot_session, make_stays, monkeypatch):
+    # Leaves the merged rows unstored, so that their join shows in the plan of the result.
+    store = up.materialize
+    monkeypatch.setattr(up, "materialize", lambda df, label: df if label == "changed" else store(df, label))
     base = hot_rows(hot_session)
     day = F.lit("2020-01-01").cast("date")
     current = base.select(
@@ -144,15 +147,33 @@ def test_hot_subject_and_version_reach_the_shuffle_reduced(spark):
     assert written == [6]
 
 
-def test_spread_leaves_enough_splits_alone(spark):
-    many = spark.range(100).repartition(9)
-    assert spread(many) is many
-    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+class _Cluster:
+    """A session without a shared folder whose master is a cluster."""
+
+    class conf:  # noqa: N801
+        @staticmethod
+        def get(key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/home/someone/spark-warehouse"}.get(key, default)
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+
+
+def test_scratch_is_shared(spark, tmp_path):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(_Cluster, "x")
+    assert scratch_dir(_Cluster, "x", "hdfs://shared").startswith("hdfs://shared/x-")
+    with stored_copies(spark):
+        path = scratch_dir(spark, "x", str(tmp_path))
+        spark.range(3).write.parquet(path)
+    assert not list(tmp_path.iterdir())
 
 
 def test_library_reads_no_clock_and_runs_no_row_functions():
     banned = re.compile(r"current_date|current_timestamp|F\.now\(|date\.today|datetime\.now|localCheckpoint|F\.udf|pandas_udf|\.toPandas\(|F\.broadcast")
-    allowed = {("operators/search.py", "F.broadcast"), ("operators/reports.py", "F.broadcast")}  # bounded: keys, one row
+    allowed = {("operators/reports.py", "F.broadcast")}  # one row
     for path in (ROOT / "sojourn").rglob("*.py"):
+        if path.relative_to(ROOT / "sojourn").parts[0] == "llm":
+            continue  # has rules of its own
         for hit in banned.findall(path.read_text()):
             assert (str(path.relative_to(ROOT / "sojourn")), hit) in allowed, (path, hit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sojourn.operators import upsert as up
 from sojourn.plans.imports import import_rows
 from sojourn.schema import STAY_SCHEMA
-from sojourn.session import scratch_dir
+from sojourn.session import materialize, scratch_dir
 from sojourn.sources import files, tables
 from sojourn.streaming.ingest import ingest_folder
 from workload.cleaning import _CHECKED, _ERRORS, _RAW, KNOWN
@@ -27,7 +27,7 @@ def upsert_matched(spark, sf):
 
 
 def upsert_new(spark, sf):
-    latest = up.last_per_key(batch(spark, sf), up.KEYS, "position")
+    latest = materialize(up.last_per_key(batch(spark, sf), up.KEYS, "position"), "batch")
     return up.new_rows(fact(spark, sf), latest).select("subject", "start_date", "end_date", "place")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sojourn.functions.text import contains_any
 from sojourn.operators import filters as fl
 from sojourn.operators import reports as rp
-from sojourn.operators.search import page_info
+from sojourn.operators.search import page_after, page_info
 from sojourn.plans import reports as pr
 from sojourn.session import materialize, scratch_dir
 from sojourn.sources.files import read_csv, write_report
@@ -80,16 +80,27 @@ def current_by_label(spark, sf):
     return pr.narrative_by_label(profiles(spark, sf), CURRENT_ONLY, label_groups(), LABELS)
 
 
+def person_page_after(spark, sf):
+    kept = profiles(spark, sf).filter(pr.ReportFilter(AS_OF, start=FROM).by_stay())
+    return brief(page_after(kept, "2001-03-31", "CUSTOMER#000000050", 200))
+
+
 def written_report(spark, sf):
-    """The three report parts as written to files: the rows of each part."""
+    """The three report parts as written to files and read again: every row of each part."""
     path = scratch_dir(spark, "report")
     kept = materialize(profiles(spark, sf).filter(ASKED.by_stay()), "report-input")
     metrics = rp.report_metrics(rp.summary_stats(kept, STATUSES), METRICS)
-    write_report(path, metrics, rp.report_by_category(rp.stats_by(kept)), rp.report_rows(kept, HEADINGS))
-    return rp.table_counts(
-        {part: read_csv(spark, f"{path}/{part}") for part in ("metrics", "by_category", "details")},
-        ("metrics", "by_category", "details"),
-    )
+    write_report(path, metrics, rp.report_by_category(rp.stats_by(kept, limit=None)), rp.report_rows(kept, HEADINGS))
+    shown = {
+        "metrics": (F.col("metric"), F.col("value").cast("double").cast("bigint").cast("string")),
+        "by_category": (F.col("category"), F.concat_ws("/", "n", "open_count")),
+        "details": (F.col("Subject"), F.concat_ws("/", "Start", "Status", "Places")),
+    }
+    parts = None
+    for part, (key, value) in shown.items():
+        rows = read_csv(spark, f"{path}/{part}").select(F.lit(part).alias("part"), key.alias("key"), value.alias("value"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
 
 
 def table_counts(spark, sf):
@@ -117,6 +128,7 @@ QUERIES = {
     "stats_by_category": lambda s, d: rp.stats_by(profiles(s, d)),
     "stats_by_label_category": label_counts,
     "person_page": person_page,
+    "person_page_after": person_page_after,
     "page_info": lambda s, d: page_info(profiles(s, d).filter(fl.date_filter(AS_OF, FROM)), 200, 400),
     "page_past_end": lambda s, d: page_info(profiles(s, d), 200, 10_000_000),
     "report_rows": lambda s, d: rp.report_rows(profiles(s, d), HEADINGS),
@@ -177,6 +189,11 @@ ORACLES = {
     "stats_by_category": sql(_TOP.format("prof", 20), "prof"),
     "stats_by_label_category": sql(_LABELLED, "prof"),
     "person_page": sql(f"{_BRIEF} WHERE start_date >= DATE '{FROM}' ORDER BY start_date DESC NULLS LAST, subject LIMIT 200 OFFSET 400", "prof"),
+    "person_page_after": sql(
+        f"""{_BRIEF} WHERE start_date >= DATE '{FROM}' AND (start_date < DATE '2001-03-31'
+          OR (start_date = DATE '2001-03-31' AND subject > 'CUSTOMER#000000050'))
+        ORDER BY start_date DESC, subject LIMIT 200""", "prof",
+    ),
     "page_info": sql(
         f"""SELECT count(*) AS total, CAST(greatest(least(count(*) - 400, 200), 0) AS BIGINT) AS page_rows,
         count(*) > 600 AS has_more, CAST(400 AS BIGINT) AS "offset", CAST(200 AS BIGINT) AS "limit"
@@ -228,9 +245,14 @@ ORACLES = {
         "WHERE", f"WHERE category IN ({_IN}) AND (end_date IS NULL OR end_date > {AS_OF_SQL}) AND"
     )),
     "report_files": sql(
-        """SELECT 'metrics' AS table_name, CAST(8 AS BIGINT) AS n UNION ALL SELECT 'details', count(*) FROM kept
-        UNION ALL SELECT 'by_category', least(count(DISTINCT category), 20) FROM kept""", "prof",
+        """SELECT 'metrics' AS part, m.n AS key, CAST(CAST(trunc(m.v) AS BIGINT) AS VARCHAR) AS value FROM (SELECT unnest([
+          {'n': 'Total', 'v': total::DOUBLE}, {'n': 'Categories', 'v': categories::DOUBLE}, {'n': 'Still open', 'v': open_count::DOUBLE},
+          {'n': 'WORK', 'v': work::DOUBLE}, {'n': 'FAMILY', 'v': family::DOUBLE}, {'n': 'STUDY', 'v': study::DOUBLE},
+          {'n': 'ATTENTION', 'v': attention::DOUBLE}, {'n': 'Average days', 'v': avg_days}]) AS m FROM totals)
+        UNION ALL SELECT 'by_category', category, n || '/' || open_count FROM top
+        UNION ALL SELECT 'details', subject, concat_ws('/', strftime(start_date, '%d/%m/%Y'), status, place) FROM kept""", "prof",
         kept=f"FROM prof WHERE start_date >= DATE '{FROM}' AND (end_date IS NULL OR end_date <= DATE '{TO}')",
+        totals=f"SELECT {_COUNTS} FROM kept", top=_TOP.format("kept", 100_000),
     ),
     "last_update": sql(
         "SELECT coalesce(strftime(max(updated_at), '%d/%m/%Y %H:%M'), 'no data') AS last_update FROM stays", "stays"

@@ -36,7 +36,7 @@ def batch(spark, sf, limit=200, offset=100):
 
 
 def search_batch_all(spark, sf):
-    found = se.search_batch_all(stays(spark, sf), lookups(spark, sf), asked_keys(spark, sf), AS_OF)
+    found = se.search_batch_all(stays(spark, sf), lookups(spark, sf), asked_keys(spark, sf), AS_OF, priority=PRIORITY)
     return found.select("subject", "start_date", "status", se.priority_rank(PRIORITY).alias("priority"))
 
 
@@ -114,6 +114,10 @@ def matrix(spark, sf, limit=50):
 
 
 def matrix_totals(spark, sf):
+    return rp.matrix_totals(matrix(spark, sf, None), ["work", "travel", "family", "other"])
+
+
+def matrix_totals_shown(spark, sf):
     return rp.matrix_totals(matrix(spark, sf, 10), ["work", "travel", "family", "other"])
 
 
@@ -137,18 +141,19 @@ QUERIES = {
     "keys_not_found": keys_not_found,
     "category_group": lambda s, d: cl.category_group(profiles(s, d).select("subject", "category"), spellings(s, d)),
     "rule_score": rule_score,
-    "rule_score_level": lambda s, d: rule_score(s, d, "HIGH"),
+    "rule_score_level": lambda s, d: rule_score(s, d, "MEDIUM"),
     "rule_reasons": rule_reasons,
     "group_flag": lambda s, d: flagged(stored_profiles(s, d)).select("subject", "start_date", "place", "minor_in_group"),
     "rule_cascade": lambda s, d: pr.decide(stored_profiles(s, d), decision()).select("subject", "minor_in_group", "decision"),
     "matrix_report": matrix,
     "matrix_totals": matrix_totals,
+    "matrix_totals_shown": matrix_totals_shown,
     "keyword_flags": keyword_flags,
 }
 
 _ASKED = """SELECT CASE WHEN o_orderstatus = 'F' THEN 'NOSUCH' || o_orderkey
   ELSE 'CUSTOMER#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS key, min(o_orderkey) AS pos FROM orders GROUP BY 1"""
-_BATCH = {"asked": _ASKED, "wanted": "SELECT key FROM asked ORDER BY pos, key LIMIT 1000",
+_BATCH = {"asked": _ASKED, "wanted": "SELECT key FROM asked",
           "found": "FROM prof WHERE subject IN (SELECT key FROM wanted)"}
 _RANK = "CASE status WHEN 'ATTENTION' THEN 1 WHEN 'WORK' THEN 2 WHEN 'FAMILY' THEN 3 WHEN 'STUDY' THEN 4 ELSE 5 END"
 _SCORED = """SELECT *,
@@ -176,6 +181,8 @@ _COUNTED = """SELECT upper(trim(coalesce(category, 'UNKNOWN'))) AS category, cou
   FROM decided GROUP BY 1"""
 _MATRIX = """SELECT *, round(n * 100.0::DOUBLE / (SELECT sum(n) FROM counted), 2) AS percent FROM counted
   ORDER BY n DESC, category LIMIT {}"""
+_TOTALS = """SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(work) AS BIGINT) AS work, CAST(sum(travel) AS BIGINT) AS travel,
+  CAST(sum(family) AS BIGINT) AS family, CAST(sum(other) AS BIGINT) AS other, count(*) AS categories FROM shown"""
 _CASCADE = {"flagged": _FLAGGED, "decided": _DECIDED}
 _SINCE_1998 = {"flagged": f"{_FLAGGED} WHERE start_date >= DATE '1998-01-01'", "decided": _DECIDED}
 
@@ -195,7 +202,7 @@ ORACLES = {
         "prof", **_BATCH,
     ),
     "search_batch_all": sql(f"SELECT subject, start_date, status, {_RANK} AS priority FROM found", "prof", **_BATCH),
-    "distinct_keys": f"SELECT key, pos FROM ({_ASKED}) ORDER BY pos, key LIMIT 1000",
+    "distinct_keys": f"SELECT key, pos FROM ({_ASKED})",
     "keys_not_found": f"SELECT key FROM ({_ASKED}) WHERE key NOT IN (SELECT upper(c_name) FROM customer)",
     "category_group": sql(
         """SELECT subject, category, coalesce(group_name, 'OTHER') AS group_name FROM prof LEFT JOIN (
@@ -203,16 +210,13 @@ ORACLES = {
         "prof", "spell",
     ),
     "rule_score": sql(_TOP_SCORES, "prof", scored=_SCORED),
-    "rule_score_level": sql(f"FROM ({_TOP_SCORES}) WHERE level = 'HIGH'", "prof", scored=_SCORED),
+    "rule_score_level": sql(_TOP_SCORES.replace("score > 0", "score BETWEEN 3 AND 5"), "prof", scored=_SCORED),
     "rule_reasons": sql("SELECT subject, reason FROM scored", "prof", scored=_SCORED),
     "group_flag": sql("SELECT subject, start_date, place, minor_in_group FROM flagged", "prof", flagged=_FLAGGED),
     "rule_cascade": sql("SELECT subject, minor_in_group, decision FROM decided", "prof", **_CASCADE),
     "matrix_report": sql(_MATRIX.format(50), "prof", **_SINCE_1998, counted=_COUNTED),
-    "matrix_totals": sql(
-        """SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(work) AS BIGINT) AS work, CAST(sum(travel) AS BIGINT) AS travel,
-        CAST(sum(family) AS BIGINT) AS family, CAST(sum(other) AS BIGINT) AS other, count(*) AS categories FROM shown""",
-        "prof", **_SINCE_1998, counted=_COUNTED, shown=_MATRIX.format(10),
-    ),
+    "matrix_totals": sql(_TOTALS, "prof", **_SINCE_1998, counted=_COUNTED, shown="FROM counted"),
+    "matrix_totals_shown": sql(_TOTALS, "prof", **_SINCE_1998, counted=_COUNTED, shown=_MATRIX.format(10)),
     "keyword_flags": """
       WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
       SELECT doc_id, contains(t, 'license') OR contains(t, 'copyright') AS legal,

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from sojourn.functions.text import norm_key
 from sojourn.operators.lookups import Lookup
-from sojourn.session import spread
 
 AS_OF = "2001-06-30"
 NOW = dt.datetime(2001, 7, 1, 8, 30)
@@ -35,13 +34,10 @@ _SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
-#: Tables with one row per fact, worth spreading over all cores even when they are one small file.
-FACTS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, FACTS[name]) if name in FACTS else rows
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
