@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,6 +26,14 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 BLOCK = 1 << 20
 
 
+_KINDS = {"bigint": LongType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType()}
+
+
+def extended(row: StructField, **types: str) -> StructType:
+    """Schema of a row passed through a task with further columns; any column names may be inside the row."""
+    return StructType([row, *(StructField(name, _KINDS[kind]) for name, kind in types.items())])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of a 64-bit value over all of them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sojourn.llm.arrays import extended
+
 #: Arcs, pairs and pieces that a worker remembers at most; each table starts afresh beyond.
 MAX_ARCS, MAX_PAIRS, MAX_PIECES = 400_000, 300_000, 150_000
 #: Rows per Arrow batch that a task returns.
@@ -283,5 +285,5 @@ def _apply(docs: DataFrame, vocabulary: str, pattern: str, in_col: str, out_col:
                 made = [work(codec, x if x is not None else empty) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, target)], ["row", "made"])
 
-    schema = f"row {source.schema['row'].dataType.simpleString()}, made {out_kind}"
+    schema = extended(source.schema["row"], made=out_kind)
     return source.mapInArrow(run, schema).select("row.*", F.col("made").alias(out_col))

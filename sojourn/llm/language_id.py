@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.llm.arrays import extended
+
 #: The dictionaries' sample: this many passages of this many characters per language.
 PASSAGES, PASSAGE_CHARS = 512, 512
 #: A dictionary's bytes, and those used for texts of less than ``SHORT`` bytes, which near references fit better.
@@ -111,7 +113,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                     part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
                 ], ["row", "lang_pred", "score"])
 
-    schema = f"row {source.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    schema = extended(source.schema["row"], lang_pred="string", score="double")
     done = source.mapInArrow(run, schema)
     accepted = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_margin)
     return done.select("row.*", "lang_pred", "score", accepted.alias("accepted"))

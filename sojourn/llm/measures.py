@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.arrays import SPACE, Words, windows, word_blocks
+from sojourn.llm.arrays import SPACE, Words, extended, windows, word_blocks
 
 #: Words per window in which repetition is looked for.
 WINDOW = 5
@@ -91,5 +91,5 @@ def with_measures(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
             found = measure(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[c]) for c in COUNTS]], ["row", *COUNTS])
 
-    schema = f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    schema = extended(source.schema["row"], **dict.fromkeys(COUNTS, "bigint"))
     return source.mapInArrow(run, schema).select("row.*", *COUNTS)

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.arrays import mix, text_blocks
+from sojourn.llm.arrays import extended, mix, text_blocks
 from sojourn.llm.measures import with_measures
 from sojourn.session import materialize
 
@@ -134,7 +134,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     weights, intercept = train(features)
     names = list(voters)
     rows = marked.select(F.struct("id", "votes", "posterior").alias("row"), "text")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
+    schema = extended(rows.schema["row"], score="double")
     scored = rows.mapInArrow(_score(weights, intercept), schema).select("row.*", "score")
     named = F.map_from_arrays(F.array(*map(F.lit, names)), F.col("votes"))
     good = (F.col("posterior") + F.col("score")) / 2 >= threshold
