@@ -3,9 +3,9 @@
 For a vocabulary in which every token rebuilds itself from its bytes, a token sequence is the encoding of
 its bytes exactly if each pair of neighbours encodes to itself. So the encoding of a prefix is known by
 its last token, and the next position's last token follows from those of the positions up to one token
-length back. The transducer's state is what that needs: the last token emitted and the bytes that are
-still pending. Reading a byte adds one position; positions at which a later token may still start keep
-their own path back, and the tokens on which all these paths agree are emitted. States and arcs are made
+length back. The transducer's state is what that needs: the positions at which a token may have started, each with
+its place in the trie of tokens, the token that ends there and the tokens not emitted yet. Reading a byte moves
+them on and may add one; the tokens on which all their paths agree are emitted. States and arcs are made
 when a text first needs them and are dropped together when there are too many, so memory is bounded.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.arrays import extended
 
 #: Arcs, pairs and pieces that a worker remembers at most; each table starts afresh beyond.
-MAX_ARCS, MAX_PAIRS, MAX_PIECES = 400_000, 300_000, 150_000
+MAX_ARCS, MAX_PAIRS, MAX_PIECES = 500_000, 300_000, 150_000
 #: Rows per Arrow batch that a task returns.
 ROWS = 256
 
@@ -35,13 +35,16 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, lines.splitlines()))}
 
 
+#: A position at which a token may have started: the trie node of the bytes since, the token that ends at the
+#: position (-1 at the start of the piece), and the tokens up to there that are not emitted yet.
+Live = tuple[int, int, tuple[int, ...]]
+
+
 class Transducer:
     """Maps the bytes of one piece to token ids. Tokens are known by their ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.open = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.longest = max(map(len, ranks))
         #: The two tokens that a token's last merge joins; absent for single bytes.
         self.halves: dict[int, tuple[int, int]] = {}
         #: Tokens that their own bytes do not merge to; only a piece that equals one becomes it.
@@ -52,24 +55,36 @@ class Transducer:
                 self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
             elif len(token) > 1:
                 self.whole[token] = rank
-        self.usable = {token: rank for token, rank in ranks.items() if token not in self.whole}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self._grow_trie([token for token in ranks if token not in self.whole])
         self.pairs: dict[int, bool] = {}
         self._forget()
 
+    def _grow_trie(self, tokens: list[bytes]) -> None:
+        """Nodes of the tokens' prefixes: child by node and byte, the token that ends there, whether any goes on."""
+        self.child: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        for token in tokens:
+            node = 0
+            for byte in token:
+                self.goes_on[node] = True
+                step = node << 8 | byte
+                node = self.child.setdefault(step, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
+            self.token_at[node] = self.ranks[token]
+
     def _forget(self) -> None:
-        self.states: dict[tuple[int, bytes], int] = {}
-        #: By state: the last token emitted, the pending bytes, and for each position among them the
-        #: position before its last token and that token (-1 where no settled path ends).
-        self.paths: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
+        self.numbers: dict[tuple[Live, ...], int] = {}
+        self.states: list[tuple[Live, ...]] = []
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.start = self._state(-1, b"", (0,), (-1,))
+        self.start = self._state(((0, -1, ()),))
 
-    def _state(self, last: int, pending: bytes, back: tuple[int, ...], token: tuple[int, ...]) -> int:
-        known = self.states.setdefault((last, pending), len(self.paths))
-        if known == len(self.paths):
-            self.paths.append((last, pending, back, token))
+    def _state(self, live: tuple[Live, ...]) -> int:
+        known = self.numbers.setdefault(live, len(self.states))
+        if known == len(self.states):
+            self.states.append(live)
         return known
 
     def _merge(self, text: bytes, below: int) -> list[bytes]:
@@ -103,55 +118,38 @@ class Transducer:
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The arc of a state for a byte: the next state and the ids emitted."""
-        last, text, back, token = self.paths[state]
-        text += byte.to_bytes()
-        size, usable, pairs, open_ = len(text), self.usable, self.pairs, self.open
-        came, made, alive = -1, -1, []
-        for begin in range(max(0, size - self.longest), size):
-            if back[begin] < 0:
+        child, token_at, goes_on, pairs = self.child, self.token_at, self.goes_on, self.pairs
+        live, ended = [], None
+        for node, last, path in self.states[state]:
+            node = child.get(node << 8 | byte)
+            if node is None:
                 continue
-            tail = text[begin:]
-            if tail in open_:
-                alive.append(begin)
-            if came < 0 and (rank := usable.get(tail, -1)) >= 0:
-                before = token[begin] if begin else last
-                if before >= 0:
-                    pair = before << 32 | rank
+            rank = token_at[node]
+            if rank >= 0 and ended is None:
+                if last >= 0:
+                    pair = last << 32 | rank
                     apart = pairs.get(pair)
                     if apart is None:
                         if len(pairs) >= MAX_PAIRS:
                             pairs.clear()
-                        apart = pairs[pair] = self._neighbours(before, rank)
-                    if not apart:
-                        continue
-                came, made = begin, rank
-        back, token = (*back, came), (*token, made)
-        if came >= 0:
-            alive.append(size)
-        # The furthest position that lies on the path of every live one is settled.
-        while len(alive) > 1:
-            before = back[alive.pop()]
-            if before not in alive:
-                alive.append(before)
-                if len(alive) > 1 and alive[-2] > before:
-                    alive.sort()
-        cut = alive[0]
-        if not cut:
-            return self._state(last, text, back, token), ()
-        out, at = [], cut
-        while at:
-            out.append(token[at])
-            at = back[at]
-        later = (0, *[b - cut if b >= cut else -1 for b in back[cut + 1 :]])
-        return self._state(token[cut], text[cut:], later, token[cut:]), tuple(reversed(out))
-
-    def _end(self, state: int) -> tuple[int, ...]:
-        _, pending, back, token = self.paths[state]
-        out, at = [], len(pending)
-        while at:
-            out.append(token[at])
-            at = back[at]
-        return tuple(reversed(out))
+                        apart = pairs[pair] = self._neighbours(last, rank)
+                else:
+                    apart = True
+                if apart:
+                    ended = (0, rank, (*path, rank))
+            if goes_on[node]:
+                live.append((node, last, path))
+        if ended is not None:
+            live.append(ended)
+        # The tokens that all paths begin with are settled.
+        out = live[0][2]
+        if out:
+            for _, _, path in live[1:]:
+                if path[: len(out)] != out:
+                    out = out[: next(i for i, (x, y) in enumerate(zip((*path, -1), (*out, -2))) if x != y)]
+            if out:
+                live = [(node, last, path[len(out) :]) for node, last, path in live]
+        return self._state(tuple(live)), out
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece, in one pass over its bytes."""
@@ -167,10 +165,8 @@ class Transducer:
             state, out = arc
             if out:
                 ids += out
-        end = self.ends.get(state)
-        if end is None:
-            end = self.ends[state] = self._end(state)
-        ids += end
+        # The last path is the one that ends with the piece.
+        ids += self.states[state][-1][2]
         return ids
 
 
