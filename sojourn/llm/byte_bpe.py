@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.arrays import extended
 
 #: Arcs, pairs and pieces that a worker remembers at most; each table starts afresh beyond.
-MAX_ARCS, MAX_PAIRS, MAX_PIECES = 500_000, 300_000, 150_000
+MAX_ARCS, MAX_PAIRS, MAX_PIECES = 600_000, 300_000, 150_000
 #: Rows per Arrow batch that a task returns.
 ROWS = 256
 
@@ -145,8 +146,8 @@ class Transducer:
         out = live[0][2]
         if out:
             for _, _, path in live[1:]:
-                if path[: len(out)] != out:
-                    out = out[: next(i for i, (x, y) in enumerate(zip((*path, -1), (*out, -2))) if x != y)]
+                while path[: len(out)] != out:
+                    out = out[:-1]
             if out:
                 live = [(node, last, path[len(out) :]) for node, last, path in live]
         return self._state(tuple(live)), out
@@ -242,44 +243,63 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """Adds ``out_col``, the ids of each whole text as little-endian unsigned 32-bit integers.
 
-    ``vocabulary`` is the path of a rank file on the driver. A NULL text counts as empty and has no ids.
-    Columns are kept, but for one already called ``out_col``, which is replaced. Rows are independent:
+    ``vocabulary`` is the path of a rank file on the driver. ``decoded_col``, if given, gets the bytes decoded from
+    these ids in the same pass. A NULL text counts as empty and has no ids. The columns ``keep`` are kept, all if it
+    is None, but for those already called like a new one, which are replaced. Rows are independent:
     repeated rows give repeated results, an empty table an empty one.
     """
-    return _apply(docs, vocabulary, pattern, text_col, out_col, "string", Codec.encode)
+    def both(codec: Codec, text: str) -> tuple[bytes, ...]:
+        packed = codec.encode(text)
+        return (packed, codec.decode_bytes(packed)) if decoded_col else (packed,)
+
+    made = [out_col, *([decoded_col] if decoded_col else [])]
+    return _apply(docs, vocabulary, pattern, text_col, made, "string", both, keep)
 
 
 def decode(docs: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``, the bytes of packed ids; NULL counts as no ids. An id outside the vocabulary is an error."""
-    return _apply(docs, vocabulary, pattern, ids_col, out_col, "binary", Codec.decode_bytes)
+    return _apply(docs, vocabulary, pattern, ids_col, [out_col], "binary", lambda codec, packed: (codec.decode_bytes(packed),))
 
 
 def decode_text(docs: DataFrame, ids_col: str, vocabulary: str, pattern: str, out_col: str = "decoded_text", chunk: int = 4096) -> DataFrame:
     """Adds ``out_col``, the text of packed ids, decoded ``chunk`` ids at a time."""
-    def run(codec: Codec, packed: bytes) -> str:
+    def run(codec: Codec, packed: bytes) -> tuple[str]:
         step = 4 * chunk
-        return "".join(decode_stream(codec.decode_bytes(packed[i : i + step]) for i in range(0, len(packed), step)))
+        return ("".join(decode_stream(codec.decode_bytes(packed[i : i + step]) for i in range(0, len(packed), step))),)
 
-    return _apply(docs, vocabulary, pattern, ids_col, out_col, "binary", run, "string")
+    return _apply(docs, vocabulary, pattern, ids_col, [out_col], "binary", run, kind_out="string")
 
 
-def _apply(docs: DataFrame, vocabulary: str, pattern: str, in_col: str, out_col: str, kind: str, work, out_kind: str = "binary") -> DataFrame:
+def _apply(
+    docs: DataFrame, vocabulary: str, pattern: str, in_col: str, made: list[str], kind: str, work, keep: list[str] | None = None,
+    kind_out: str = "binary",
+) -> DataFrame:
     content = _shared(docs.sparkSession, vocabulary)
     empty = "" if kind == "string" else b""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in made]
     source = docs.select(F.struct(*kept).alias("row"), F.col(in_col).cast(kind).alias("given"))
+    places = [f"made{i}" for i in range(len(made))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value, pattern)
-        target = pa.string() if out_kind == "string" else pa.binary()
-        for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                part = batch.slice(low, ROWS)
-                made = [work(codec, x if x is not None else empty) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, target)], ["row", "made"])
-
-    schema = extended(source.schema["row"], made=out_kind)
-    return source.mapInArrow(run, schema).select("row.*", F.col("made").alias(out_col))
+        target = pa.string() if kind_out == "string" else pa.binary()
+        # The tables are many small tuples without cycles, which the collector would walk in vain.
+        gc.disable()
+        try:
+            for batch in batches:
+                for low in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(low, ROWS)
+                    found = [work(codec, x if x is not None else empty) for x in part.column(1).to_pylist()]
+                    columns = [pa.array([x[i] for x in found], target) for i in range(len(places))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["row", *places])
+        finally:
+            gc.enable()
+
+    schema = extended(source.schema["row"], **dict.fromkeys(places, kind_out))
+    return source.mapInArrow(run, schema).select("row.*", *[F.col(place).alias(name) for place, name in zip(places, made, strict=True)])

@@ -102,15 +102,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """Adds packed ids and the bytes decoded from them."""
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, vocabulary, public_tokenizers.PATTERN)
-
-
 def digested(docs: DataFrame) -> DataFrame:
-    found = encoded(docs.select("doc_id", "text")).select("doc_id", "ids", "decoded")
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded_col="decoded", keep=["doc_id"])
     return found.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -150,7 +150,9 @@ def test_bpe_matches_library(awkward, documents):
         ranks = byte_bpe.load_ranks(file.read())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for docs in (documents, awkward):
-        done = queries.encoded(docs.select("doc_id", "text", F.lit(1).alias("ids")))
+        done = byte_bpe.encode(docs.select("doc_id", "text", F.lit(1).alias("ids")), path, public_tokenizers.PATTERN, decoded_col="same")
+        done = byte_bpe.decode(done, path, public_tokenizers.PATTERN)
+        assert done.filter("not (same <=> decoded)").isEmpty()
         for r in byte_bpe.decode_text(done, "ids", path, public_tokenizers.PATTERN, chunk=3).collect():
             assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "")
             assert bytes(r.decoded).decode() == r.decoded_text == (r.text or "")
