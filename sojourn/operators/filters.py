@@ -15,8 +15,8 @@ from sojourn.session import materialize
 
 CURRENT = "current"
 ENDED = "ended"
-#: A group code that stands for several groups.
-COMPOSITE_GROUPS = {"ASIA_OCEANIA": ("ASIA", "OCEANIA")}
+#: Group codes that stand for several groups, by code.
+Composites = Mapping[str, Sequence[str]]
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
@@ -71,21 +71,25 @@ def state_filter(state: str | None, as_of: AsOf) -> Column:
     return F.col("status") == state
 
 
-def _wanted_groups(groups: str | Sequence[str] | None) -> list[str]:
+def _wanted_groups(groups: str | Sequence[str] | None, composites: Composites | None) -> list[str]:
     """Plain group codes, or an empty list for no filter."""
     if not groups:
         return []
     codes = [groups] if isinstance(groups, str) else list(groups)
     if "ALL" in codes:
         return []
-    return [plain for code in codes for plain in COMPOSITE_GROUPS.get(code, (code,))]
+    return [plain for code in codes for plain in (composites or {}).get(code, (code,))]
 
 
 def group_filter(
-    groups: str | Sequence[str] | None, spellings: Mapping[str, Sequence[str]], column: str = "category"
+    groups: str | Sequence[str] | None, spellings: Mapping[str, Sequence[str]], column: str = "category",
+    composites: Composites | None = None,
 ) -> Column:
-    """Category is one of the spellings of the groups. ``ALL`` or unknown groups do not filter."""
-    names = sorted({s for g in _wanted_groups(groups) for s in spellings.get(g, ())})
+    """Category is one of the spellings of the groups. ``ALL`` or unknown groups do not filter.
+
+    A code in ``composites`` stands for the groups listed there.
+    """
+    names = sorted({s for g in _wanted_groups(groups, composites) for s in spellings.get(g, ())})
     return F.upper(F.col(column)).isin(names) if names else F.lit(True)
 
 
@@ -94,9 +98,10 @@ def filter_group(
     groups: str | Sequence[str] | None,
     spellings: DataFrame,
     column: str = "category",
+    composites: Composites | None = None,
 ) -> DataFrame:
-    """``group_filter`` with the spellings in a table of (group_name, spelling)."""
-    codes = _wanted_groups(groups)
+    """``group_filter`` with the spellings in a table of (group_name, spelling). Runs a job while it is built."""
+    codes = _wanted_groups(groups, composites)
     if not codes:
         return df
     names = spellings.filter(F.col("group_name").isin(codes)).select(F.col("spelling").alias("_spelling")).distinct()

@@ -30,12 +30,13 @@ class ReportFilter:
     comparison: str = ">="
     state: str | None = None
     min_days: int | None = None
+    composites: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     def by_stay(self) -> Column:
         """The conditions of statistics and lists."""
         return all_of([
             date_filter(self.as_of, self.start, self.end, self.min_days),
-            group_filter(self.groups, self.spellings),
+            group_filter(self.groups, self.spellings, composites=self.composites),
             days_filter(self.days, self.comparison),
             state_filter(self.state, self.as_of),
         ])
@@ -44,7 +45,7 @@ class ReportFilter:
         """The same without day count and state, as the table per category has it."""
         return all_of([
             date_filter(self.as_of, self.start, self.end, self.min_days),
-            group_filter(self.groups, self.spellings),
+            group_filter(self.groups, self.spellings, composites=self.composites),
         ])
 
     def by_start(self) -> Column:
@@ -52,7 +53,7 @@ class ReportFilter:
         start, end = (None, None) if self.state == CURRENT else (self.start, self.end)
         return all_of([
             date_filter(self.as_of, start, end, self.min_days, mode="start_only"),
-            group_filter(self.groups, self.spellings),
+            group_filter(self.groups, self.spellings, composites=self.composites),
             state_filter(self.state, self.as_of),
         ])
 

@@ -12,12 +12,13 @@ from sojourn.session import materialize
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def stitch_pages(cells: DataFrame, columns: Mapping[str, str], number_header: str = "STT") -> DataFrame:
+def stitch_pages(cells: DataFrame, columns: Mapping[str, str], number_header: str = "STT", every_page: bool = False) -> DataFrame:
     """Rows of all pages under one set of columns.
 
     ``cells`` has (file, page, row_no, cells array<string>); ``columns`` maps header text to output
     names. The first row of a file is its header. A later page whose first cell repeats the row-number
-    header brings its own header, otherwise the file's header applies. Case and outer spaces of headers
+    header brings its own header, otherwise the file's header applies; with ``every_page`` the first row of
+    each page is its header, whatever it holds. Case and outer spaces of headers
     do not matter. Rows whose row number is no number are dropped. Headers are found by aggregates that combine inside the input tasks and joined
     to the rows per page, so a file of any number of pages spreads over the cluster.
     """
@@ -30,7 +31,7 @@ def stitch_pages(cells: DataFrame, columns: Mapping[str, str], number_header: st
     )
     file_headers = materialize(file_headers, "file-headers")
     repeats = F.upper(F.trim(F.get("first_cells", 0))) == number_header.upper()
-    own = (F.col("page") == F.col("first_page")) | F.coalesce(repeats, F.lit(False))
+    own = F.lit(every_page) | (F.col("page") == F.col("first_page")) | F.coalesce(repeats, F.lit(False))
     headers = first_rows.join(file_headers, "file").select(
         "file", "page",
         F.transform(

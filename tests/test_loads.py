@@ -208,6 +208,10 @@ def test_stitching(spark):
     got = rows(stitch_pages(df, {"Who": "subject", "Where": "place"}), "file", "page", "subject", "place")
     # File g has no row-number column, so nothing is dropped there.
     assert got == [("f", 1, "a", "x"), ("f", 2, "c", "y"), ("f", 3, "d", "z"), ("f", 3, "f", None), ("g", 1, "h", None)]
+    pages = [("k", 1, 0, ["Who", "Where"]), ("k", 1, 1, ["a", "x"]), ("k", 2, 0, ["Where", "Who"]), ("k", 2, 1, ["y", "b"])]
+    df = spark.createDataFrame(pages, "file string, page int, row_no int, cells array<string>")
+    got = rows(stitch_pages(df, {"Who": "subject", "Where": "place"}, every_page=True), "page", "subject", "place")
+    assert got == [(1, "a", "x"), (2, "b", "y")]
 
 
 def test_stored_table(spark, make_stays, upsert_case, tmp_path):
