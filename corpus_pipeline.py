@@ -42,8 +42,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics meet their target shares."""
-    return queries.mixed(docs).filter("kept").select("doc.*")
+    """Samples documents towards the target shares of sources, languages and topics.
+
+    A document is one row with one id in all stages, so none is repeated here, and rare values that would need repeats
+    stay below their targets; ``mixing.gaps`` tells by how much. ``op4_mixing`` gives the copies that meet the targets.
+    """
+    return queries.mixed(docs, repeats=False).filter("kept").select("doc.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,17 +52,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+MIXED = ["mix_source", "mix_lang", "mix_topic"]
+
+
+def mixed(docs: DataFrame, repeats: bool = True) -> DataFrame:
     """Documents with their sampling decision; raked to smoothed shares of sources, languages and topics."""
     tokens = mixing.token_count(F.col("text"))
-    return mixing.mix(docs, {
-        "mix_source": F.col("source"), "mix_lang": F.col("lang"), "mix_topic": mixing.layout_topic(F.col("text"), tokens),
-    }, tokens)
+    labels = [F.col("source"), F.col("lang"), mixing.layout_topic(F.col("text"), tokens)]
+    return mixing.mix(docs, dict(zip(MIXED, labels)), tokens, repeats=repeats)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents"))
-    return found.select("doc.doc_id", "mix_source", "mix_lang", "mix_topic", "n_tokens", "weight", "probability", "kept")
+    return found.select("doc.doc_id", *MIXED, "n_tokens", "weight", "rate", "probability", "copies", "kept")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,30 @@ def test_mixing_awkward(awkward):
     assert queries.mixed(awkward.limit(0)).count() == 0
 
 
+def test_sample_meets_targets(spark):
+    """Rare values far below their targets: the sampled tokens meet them all the same."""
+    docs = spark.range(20000).selectExpr(
+        "id as doc_id", "case when id % 50 = 0 then 'rare' when id % 10 = 1 then 'some' else 'most' end as s",
+        "if(id % 37 = 0, 'x', 'y') as l", "if(id % 11 = 0, 'p', 'q') as t", "20 + id % 7 as n",
+    )
+    dimensions = {name: F.col(name) for name in "slt"}
+    targets = {"s": {"rare": 1, "some": 1, "most": 1}, "l": {"x": 1, "y": 1}, "t": {"p": 1, "q": 3}}
+    wanted = {n: spark.createDataFrame([(k, float(v)) for k, v in t.items()], "value string, target double") for n, t in targets.items()}
+    found = mixing.mix(docs, dimensions, F.col("n"), wanted)
+    total, sampled = found.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies"))).first()
+    assert sampled == pytest.approx(mixing.KEEP * total, rel=0.02)
+    seen = {(r.dimension, r.value): r for r in mixing.gaps(found, list("slt"), wanted).collect()}
+    for name, table in targets.items():
+        shares = {r[0]: r[1] / sampled for r in found.groupBy(name).agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
+        assert shares == pytest.approx({v: t / sum(table.values()) for v, t in table.items()}, abs=0.015)
+        for value, share in shares.items():
+            row = seen[name, value]
+            assert (row.sampled, row.gap) == pytest.approx((share, share - row.target)) and row.expected == pytest.approx(row.target, abs=1e-4)
+    assert found.filter("kept <> (copies > 0) or abs(copies - rate) >= 1 or probability <> least(rate, 1)").count() == 0
+    once = mixing.mix(docs, dimensions, F.col("n"), wanted, repeats=False)
+    assert once.agg(F.max("copies")).first()[0] == 1 and mixing.gaps(once, list("slt"), wanted).agg(F.max("gap")).first()[0] > 0.1
+
+
 def test_fixity(spark):
     pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(concat('body ', id), 200) as html")
     one = warc_fixity.archive(pages)
