@@ -11,8 +11,8 @@ others, the next 4, 16, 64 ... documents become centres, each compared with late
 components only, until every bucket is settled or has had all its documents as centre. So no pair that
 shares a bucket is lost, whatever the size of the bucket. Documents with the most exact copies come first.
 
-Before texts are fetched, a pair must pass cheap tests: set sizes that allow the similarity, sketches of two
-bits per bin that agree in nearly as many bins as a similar pair's would, and, in buckets that are still open,
+Before texts are fetched, a pair must pass cheap tests: set sizes that allow the similarity, in pairs of at least
+``SKETCHED`` shingles sketches of two bits per bin that agree in nearly as many bins as a similar pair's would, and, in buckets that are still open,
 bitmaps of the sets: a bit that only one side has is a shingle that the other lacks, which bounds the
 intersection. The last one ends the search for documents at the rim of a large family.
 
@@ -39,6 +39,9 @@ BANDS = BINS // ROWS
 _SHIFT = np.uint64(64 - 8)
 #: Two-bit codes of the bins, in words of 64 bits.
 SKETCH = BINS * 2 // 64
+#: Pairs with a smaller set than this skip the sketch test: most of their bins borrow from few shingles, so codes agree
+#: all together or not at all, and no bound on their number is safe. Their texts are short.
+SKETCHED = 64
 #: Words of 64 bits of the bitmaps.
 BITMAP = 32
 
@@ -82,6 +85,11 @@ def least_agreeing(percent: int) -> int:
     return int(BINS * share - 5.5 * (BINS * share * (1 - share)) ** 0.5)
 
 
+def _alike(percent: int) -> Column:
+    """Whether sketches leave the similarity likely, or the sets are too small to tell."""
+    return (F.least("n", "n_a") < SKETCHED) | (_agreeing("sketch_a", "sketch_b") >= least_agreeing(percent))
+
+
 def _agreeing(one: str, two: str) -> Column:
     """Bins in which two sketches agree."""
     apart = F.lit(0)
@@ -202,7 +210,7 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int
     """Confirmed links between nodes that share a bucket; ``members`` is (bucket, node, n, turn)."""
     spark = members.sparkSession
     found = spark.createDataFrame([], "a bigint, b bigint")
-    agreeing = _agreeing("sketch_a", "sketch_b") >= least_agreeing(percent)
+    alike = _alike(percent)
     labelled = members.withColumn("component", F.col("node"))
     used, centres = None, 1
     while True:
@@ -217,13 +225,13 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int
         near = (F.col("turn") > F.col("turn_a")) & (F.col("component") != F.col("component_a"))
         near &= 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
         if used is None:
-            pairs = labelled.join(heads, "bucket").filter(near).select("a", F.col("node").alias("b")).distinct()
+            pairs = labelled.join(heads, "bucket").filter(near).select("a", F.col("node").alias("b"), "n_a", "n").distinct()
             pairs = materialize(pairs, "pairs")
             for end in ("b", "a"):
                 pairs = pairs.join(sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-            pairs = pairs.filter(agreeing).select("a", "b")
+            pairs = pairs.filter(alike).select("a", "b")
         else:
-            joined = labelled.withColumnRenamed("sketch", "sketch_b").join(heads, "bucket").filter(near & agreeing & _possible(percent))
+            joined = labelled.withColumnRenamed("sketch", "sketch_b").join(heads, "bucket").filter(near & alike & _possible(percent))
             pairs = joined.select("a", F.col("node").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")

@@ -106,6 +106,18 @@ def test_near_duplicates_of_a_family(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 4).collect()} == want
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Many pairs of similarity exactly 0.8 with few shingles: none is lost."""
+    rows = []
+    for i in range(6000):
+        shared = (4, 4, 4, 8, 12)[i % 5]
+        words = [f"v{i}x{j}" for j in range(shared + 3 + shared // 4)]
+        rows += [(2 * i, " ".join(words[: shared + 3])), (2 * i + 1, " ".join(words))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4)
+    lost = found.filter("component_id <> doc_id - doc_id % 2").count()
+    assert (lost, found.filter("n_shingles <= 15").count()) == (0, 12000)
+
+
 def test_near_duplicates_awkward(awkward):
     found = minhash.near_duplicates(awkward, 5).collect()
     assert len(found) == len(TEXTS) + 3
