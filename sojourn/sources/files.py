@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 IMPORT_ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin1")
 EXPORT_ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "utf-16")
@@ -34,6 +36,11 @@ SOURCE_FILE = "source_file"
 POSITION = "position"
 
 
+def literal_path(path: str) -> str:
+    """A path for the readers, which would take some characters of it for wildcards."""
+    return "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in path)
+
+
 def detect_encodings(
     spark: SparkSession, paths: str | Sequence[str], candidates: Sequence[str] = IMPORT_ENCODINGS
 ) -> DataFrame:
@@ -73,9 +80,11 @@ def read_csv(
     paths: str | Sequence[str],
     candidates: Sequence[str] = IMPORT_ENCODINGS,
     multi_line: bool = False,
+    newest_last: bool = False,
 ) -> DataFrame:
     """All files as text columns, with ``source_file`` and the row's ``position`` in input order.
 
+    Files are in the order of their paths, or with ``newest_last`` of their modification times first.
     Files of one encoding and one header are read together; the groups are united by column name.
     Large files are split unless ``multi_line`` asks for line breaks inside quotes. UTF-16 files
     cannot be split and are read one task each.
@@ -86,12 +95,20 @@ def read_csv(
         raise ValueError(f"no supported encoding fits {', '.join(undecided)}")
     groups: dict[tuple[str, str], list[str]] = defaultdict(list)
     for row in found:
-        groups[row.encoding, row.header].append(row.path)
+        groups[row.encoding, row.header].append(literal_path(unquote(row.path)))  # metadata paths are in URL form
+    modified = [F.col("_metadata.file_modification_time").alias("modified")] if newest_last else []
     united = None
-    for (encoding, _), members in sorted(groups.items()):
-        part = spark.read.csv(
+    for (encoding, first), members in sorted(groups.items()):
+        whole_files = multi_line or encoding == "utf-16"
+        reader = spark.read
+        if whole_files and any("\\" in path for path in members):
+            # The reader of whole files cannot find names with wildcards in them when it looks for the header itself.
+            line = bytes.fromhex(first).decode(_CHARSET[encoding], "ignore").rstrip("\r\n")
+            names = spark.read.csv(spark.sparkContext.parallelize([line], 1), header=True, quote='"', escape='"').columns
+            reader = reader.schema(StructType([StructField(name, StringType()) for name in names]))
+        part = reader.csv(
             sorted(members), header=True, inferSchema=False, quote='"', escape='"',
-            encoding=_CHARSET[encoding], multiLine=multi_line or encoding == "utf-16",
+            encoding=_CHARSET[encoding], multiLine=whole_files,
         )
         cells = []
         for header in part.columns:
@@ -103,6 +120,7 @@ def read_csv(
             *cells,
             F.col("_metadata.file_name").alias(SOURCE_FILE),
             F.struct(
+                *modified,
                 F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),

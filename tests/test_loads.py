@@ -251,3 +251,22 @@ def test_drop_folder(spark, make_stays, tmp_path):
     assert second == [("AB123", "after", "KEEP", "one.csv"), ("CD456", "corrected", None, "two.csv")]
     assert counts == [(0, 2, 1, 1, 1, 1, 0), (1, 1, 0, 1, 0, 0, 0)]
     assert list((tmp_path / "done").rglob("one.csv"))  # archived once a later run had begun
+
+
+def test_drop_folder_reads_like_a_batch_import(spark, make_stays, tmp_path):
+    """Encodings, column orders, line breaks and awkward names side by side in one drop."""
+    path, folder = str(tmp_path / "fact"), tmp_path / "in"
+    tables.append_stays(make_stays({"subject": "AB123", "start": "2025-01-01", "name": "before", "label": "KEEP"}), path)
+    folder.mkdir()
+    (folder / "west.csv").write_bytes("passport,ho ten,ngay den,ngay di,address\nAB123,José 5€,01/01/2025,05/01/2025,Málaga\n".encode("cp1252"))
+    (folder / "wide.csv").write_bytes("Ngày đến,Địa chỉ,Passport,Họ tên\n02/01/2025,\"Hà\nNội\",CD456,Đặng\n".encode("utf-16"))
+    (folder / "a [1] b%20.csv").write_text("Họ tên,Passport,Ngày đến,Địa chỉ\nÉva,EF789,03/01/2025,\"1st\nfloor, \"\"B\"\"\"\n", encoding="utf-8")
+    (folder / "empty.csv").write_bytes(b"")
+    query = ingest_folder(
+        spark, str(folder), str(tmp_path / "done"), str(tmp_path / "state"), path, ["Passport", "Họ tên", "Ngày đến", "Ngày đi"], lambda: NOW, [],
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    assert rows(tables.read_stays(spark, path), "subject", "name", "place", "verified_label") == [
+        ("AB123", "José 5€", "Málaga", "KEEP"), ("CD456", "Đặng", "Hà, Nội", None), ("EF789", "Éva", '1st, floor, "B"', None),
+    ]

@@ -118,15 +118,20 @@ def split_output(spark, sf):
 
 
 def ingest(spark, sf):
-    """Two drops of the raw load, the second one corrected, through the drop folder into a stored table."""
+    """Two drops of the raw load, the second one corrected, through the drop folder into a stored table.
+
+    Half of each drop is in UTF-8, the other half in UTF-16 with its columns in reverse; line breaks are kept.
+    """
     base = scratch_dir(spark, "drop")
     load = raw(spark, sf).drop("source_file", "position")
     path = stored_fact(spark, sf)
-    one_line = F.replace("Địa chỉ", F.lit("\n"), F.lit(" "))
-    first = load.withColumn("Địa chỉ", one_line).withColumn("NgayDi", F.lit("2001-06-30"))
+    first = load.withColumn("NgayDi", F.lit("2001-06-30"))
     second = load.withColumn("Địa chỉ", F.lit("moved"))
     for drop in (first, second):
-        drop.write.mode("append").option("header", True).csv(f"{base}/in")
+        half = F.pmod(F.xxhash64(*[f"`{c}`" for c in load.columns]), F.lit(2))
+        for i, (encoding, columns) in enumerate((("UTF-8", drop.columns), ("UTF-16", drop.columns[::-1]))):
+            part = drop.filter(half == i).select(*[f"`{c}`" for c in columns])
+            part.write.mode("append").option("header", True).option("escape", '"').option("encoding", encoding).csv(f"{base}/in")
         query = ingest_folder(
             spark, f"{base}/in", f"{base}/done", f"{base}/state", path, load.columns, lambda: NOW, KNOWN
         )
