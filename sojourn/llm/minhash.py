@@ -16,7 +16,8 @@ Before texts are fetched, a pair must pass cheap tests: set sizes that allow the
 bitmaps of the sets: a bit that only one side has is a shingle that the other lacks, which bounds the
 intersection. The last one ends the search for documents at the rim of a large family.
 
-At similarity 0.8 a pair shares no bucket with odds of 3e-6, and fails the sketch test with odds of 3e-8.
+At similarity 0.8 a pair shares no bucket with odds of 3e-6, and its sketches agree in 40
+bins more than the test asks for, six standard deviations as simulated in sets of 64 shingles.
 """
 
 from __future__ import annotations
@@ -80,9 +81,9 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def least_agreeing(percent: int) -> int:
-    """Bins whose codes agree in a pair of that similarity, less 5.5 standard deviations."""
+    """Bins whose codes agree in a pair of that similarity, less 7 standard deviations of independent bins."""
     share = percent / 100 + (1 - percent / 100) / 4
-    return int(BINS * share - 5.5 * (BINS * share * (1 - share)) ** 0.5)
+    return int(BINS * share - 7 * (BINS * share * (1 - share)) ** 0.5)
 
 
 def _alike(percent: int) -> Column:
