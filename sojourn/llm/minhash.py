@@ -16,7 +16,7 @@ Before texts are fetched, a pair must pass cheap tests: set sizes that allow the
 bitmaps of the sets: a bit that only one side has is a shingle that the other lacks, which bounds the
 intersection. The last one ends the search for documents at the rim of a large family.
 
-At similarity 0.8 a pair shares no bucket with odds of 3e-6, and its sketches agree in 40
+At similarity 0.8 a pair shares no bucket with odds of 3e-6, and its sketches agree on average in 40
 bins more than the test asks for, six standard deviations as simulated in sets of 64 shingles.
 """
 
