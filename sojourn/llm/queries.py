@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm import (
-    byte_bpe, embedding_dedup, language_id, minhash, mixing, quality_classifier, quality_rules, secret_scan, token_counts, warc_fixity,
+    byte_bpe, embedding_dedup, fill_in_middle, language_id, minhash, mixing, quality_classifier, quality_rules, secret_scan, token_counts, warc_fixity,
+    whitening,
 )
 from sojourn.session import scratch_dir
 
@@ -121,9 +122,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1, "op2_language_id": op2, "op3_token_counts": op3, "op4_mixing": op4, "op5_warc_fixity": op5,
     "op6_secret_scan": op6, "op7_embedding_dedup": op7, "op8_quality_rules": op8, "op9_byte_bpe": op9, "op10_minhash_dedup": op10,
+    "op11_embedding_whitening": op11, "op13_fill_in_middle": op13,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_fill_in_middle": r"""
+      WITH units AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+          regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+        FROM documents),
+      drawn AS (
+        SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS two,
+          CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+        FROM units),
+      cut AS (
+        SELECT doc_id, text, n, form, array_to_string(u[1:least(one, two)], '') AS p,
+          array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS m, array_to_string(u[greatest(one, two) + 1:], '') AS s
+        FROM drawn)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+        sha256(text) AS restored_sha256
+      FROM cut""",
+}
