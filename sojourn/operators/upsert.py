@@ -9,10 +9,11 @@ allow neither.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sojourn.functions.text import norm_key, strip
 from sojourn.operators.filters import all_of
@@ -24,10 +25,10 @@ ACTION = "action"
 KEPT, UPDATED_ROW, INSERTED = "kept", "updated", "inserted"
 
 
-def _stamp(now: dt.datetime, current: DataFrame) -> Column:
+def _stamp(now: dt.datetime, schema: T.StructType) -> Column:
     """The load time as wall-clock time. As text, since a datetime literal would be an instant and shift
     with the session's time zone."""
-    return F.lit(now.isoformat(sep=" ")).cast(current.schema[UPDATED].dataType)
+    return F.lit(now.isoformat(sep=" ")).cast(schema[UPDATED].dataType)
 
 
 def last_per_key(batch: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
@@ -62,32 +63,56 @@ def new_rows(current: DataFrame, latest: DataFrame, keys: Sequence[str] = KEYS,
     return latest.join(shared, _same(keys, null_safe), "left_anti")
 
 
-def upsert_latest(
+def changed_rows(
     current: DataFrame,
     latest: DataFrame,
     now: dt.datetime,
     keys: Sequence[str] = KEYS,
     attributes: Sequence[str] = ATTRIBUTES,
     null_safe: bool = False,
+    marks: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """``upsert_tagged`` for a stored batch that already has one row per key.
+    """Current rows with the values of the batch row that has their key, and what happened to them.
 
-    The current table is read once: its rows are stored with the action they underwent, and the keys that
-    matched tell which rows of the batch are new.
+    A column ``action`` of stored rows is replaced where the row is updated and kept as it is elsewhere, and so are
+    the columns of ``marks``; without a stored one every row has an action.
     """
-    stamp = _stamp(now, current)
     hit = F.col("_hit").isNotNull()
     incoming = _prefixed(latest, [*keys, *attributes, LABEL]).withColumn("_hit", F.lit(True))
     joined = current.join(incoming, _same(keys, null_safe), "left")
     values = {a: F.when(hit, F.col(f"_{a}")).otherwise(F.col(a)) for a in attributes}
     values[LABEL] = F.when(hit & (F.col(f"_{LABEL}") != ""), F.col(f"_{LABEL}")).otherwise(F.col(LABEL))
-    values[UPDATED] = F.when(hit, stamp).otherwise(F.col(UPDATED))
-    values[ACTION] = F.when(hit, UPDATED_ROW).otherwise(KEPT)
-    changed = joined.withColumns(values).select(*current.columns, ACTION)
-    changed = materialize(changed, "changed")
-    shared = _prefixed(changed.filter(F.col(ACTION) == UPDATED_ROW), keys).distinct()
-    added = latest.join(shared, _same(keys, null_safe), "left_anti").withColumn(UPDATED, stamp)
-    return changed.unionByName(added.select(*current.columns, F.lit(INSERTED).alias(ACTION)))
+    values[UPDATED] = F.when(hit, _stamp(now, current.schema)).otherwise(F.col(UPDATED))
+    values[ACTION] = F.when(hit, UPDATED_ROW).otherwise(F.col(ACTION) if ACTION in current.columns else F.lit(KEPT))
+    values |= {name: F.when(hit, mark).otherwise(F.col(name)) for name, mark in (marks or {}).items()}
+    return joined.withColumns(values).select(*current.columns, *([] if ACTION in current.columns else [ACTION]))
+
+
+def added_rows(
+    updated: DataFrame, latest: DataFrame, schema: T.StructType, now: dt.datetime, keys: Sequence[str] = KEYS, null_safe: bool = False
+) -> DataFrame:
+    """Rows of the batch whose key is not among the updated rows, in the columns of ``schema``."""
+    shared = _prefixed(updated, keys).distinct()
+    added = latest.join(shared, _same(keys, null_safe), "left_anti").withColumn(UPDATED, _stamp(now, schema))
+    return added.select(*schema.names)
+
+
+def upsert_latest(
+    current: DataFrame,
+    latest: DataFrame,
+    now: dt.datetime,
+    keys: Sequence[str] = KEYS,
+    attributes: Sequence[str] = ATTRIBUTES,
+    null_safe: bool = False,
+) -> DataFrame:
+    """``upsert_tagged`` for a stored batch that already has one row per key.
+
+    The current table is read once: its rows are stored with the action they underwent, and the keys that
+    matched tell which rows of the batch are new.
+    """
+    changed = materialize(changed_rows(current, latest, now, keys, attributes, null_safe), "changed")
+    added = added_rows(changed.filter(F.col(ACTION) == UPDATED_ROW), latest, current.schema, now, keys, null_safe)
+    return changed.unionByName(added.withColumn(ACTION, F.lit(INSERTED)))
 
 
 def upsert_tagged(
@@ -133,7 +158,7 @@ def apply_labels(
     ).filter((F.col("_key") != "") & (F.col("_label") != ""))
     last = given.groupBy("_key").agg(F.max_by("_label", F.struct("_at", "_label")).alias("_label"))
     last = materialize(last, "labels")
-    stamp = _stamp(now, current)
+    stamp = _stamp(now, current.schema)
     joined = current.join(last, F.upper(F.col(SUBJECT)) == F.col("_key"), "left")
     hit = F.col("_label").isNotNull()
     return joined.withColumns(

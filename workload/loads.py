@@ -67,6 +67,15 @@ def upsert_table(spark, sf):
     return tables.read_stays(spark, path)
 
 
+def upsert_replayed(spark, sf):
+    """Two loads, each sent twice under its id, the first one again at the end: rows without a start come once per load."""
+    path = stored_fact(spark, sf)
+    part = F.col("position.l_linenumber") % 2
+    for load in (0, 0, 1, 1, 0):
+        tables.upsert_table(spark, path, batch(spark, sf).filter(part == load), NOW, "position", load_id=f"load-{load}")
+    return tables.read_stays(spark, path)
+
+
 def accented_customers(spark, sf):
     return customers(spark, sf).select(
         "c_custkey", F.concat("c_name", F.lit(" café 5€, "), F.col("c_mktsegment")).alias("title"),
@@ -146,6 +155,7 @@ QUERIES = {
     "upsert_stays": lambda s, d: tagged(s, d),
     "upsert_twice": upsert_twice,
     "upsert_table": upsert_table,
+    "upsert_replayed": upsert_replayed,
     "apply_labels": apply_labels,
     "import_summary": import_summary,
     "append_stays": append_stays,
@@ -168,7 +178,15 @@ _UPSERTED = f"""
   SELECT subject, name, birth_date, category, start_date, end_date, place, verified_label, {NOW_SQL}, source_file, 'inserted'
   FROM latest_batch b WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.subject = b.subject AND f.start_date = b.start_date)"""
 
+_LAST_OF = """SELECT * EXCLUDE (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) FROM batch WHERE l_linenumber % 2 = {}
+  QUALIFY row_number() OVER (PARTITION BY subject, start_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1"""
+
 ORACLES = {
+    "upsert_replayed": sql(
+        "SELECT * EXCLUDE (action) FROM upserted", "fact", "batch", one=_LAST_OF.format(0), two=_LAST_OF.format(1),
+        first=_UPSERTED.replace("latest_batch", "one"), later="SELECT * EXCLUDE (action) FROM first",
+        upserted=_UPSERTED.replace("latest_batch", "two").replace("FROM fact", "FROM later"),
+    ),
     "upsert_matched": sql(
         f"SELECT subject, count(*) AS n FROM fact SEMI JOIN ({_SHARED}) USING (subject, start_date) GROUP BY subject", "fact", "batch"
     ),
