@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm import (
-    byte_bpe, embedding_dedup, fill_in_middle, language_id, minhash, mixing, quality_classifier, quality_rules, secret_scan, token_counts, warc_fixity,
+    byte_bpe, embedding_dedup, exact_dedup, fill_in_middle, language_id, minhash, mixing, quality_classifier, quality_rules, secret_scan, token_counts, warc_fixity,
     whitening,
 )
 from sojourn.session import scratch_dir
@@ -126,6 +126,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), scratch_dir(spark, "cuckoo-index"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
     restored = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -138,10 +142,15 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1, "op2_language_id": op2, "op3_token_counts": op3, "op4_mixing": op4, "op5_warc_fixity": op5,
     "op6_secret_scan": op6, "op7_embedding_dedup": op7, "op8_quality_rules": op8, "op9_byte_bpe": op9, "op10_minhash_dedup": op10,
-    "op11_embedding_whitening": op11, "op13_fill_in_middle": op13,
+    "op11_embedding_whitening": op11, "op12_exact_dedup": op12, "op13_fill_in_middle": op13,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_exact_dedup": """
+      WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+      SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
+      FROM t WINDOW g AS (PARTITION BY text_sha256)""",
     "op13_fill_in_middle": r"""
       WITH units AS (
         SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
