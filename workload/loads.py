@@ -167,7 +167,7 @@ QUERIES = {
 }
 
 _SHARED = "SELECT DISTINCT subject, start_date FROM batch WHERE start_date IS NOT NULL"
-_UPSERTED = f"""
+UPSERTED = f"""
   SELECT f.subject, coalesce(b.name, f.name) AS name, coalesce(b.birth_date, f.birth_date) AS birth_date,
     coalesce(b.category, f.category) AS category, f.start_date, coalesce(b.end_date, f.end_date) AS end_date,
     coalesce(b.place, f.place) AS place, coalesce(nullif(b.verified_label, ''), f.verified_label) AS verified_label,
@@ -178,14 +178,14 @@ _UPSERTED = f"""
   SELECT subject, name, birth_date, category, start_date, end_date, place, verified_label, {NOW_SQL}, source_file, 'inserted'
   FROM latest_batch b WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.subject = b.subject AND f.start_date = b.start_date)"""
 
-_LAST_OF = """SELECT * EXCLUDE (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) FROM batch WHERE l_linenumber % 2 = {}
+LAST_OF = """SELECT * EXCLUDE (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) FROM batch WHERE l_linenumber % 2 = {}
   QUALIFY row_number() OVER (PARTITION BY subject, start_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1"""
 
 ORACLES = {
     "upsert_replayed": sql(
-        "SELECT * EXCLUDE (action) FROM upserted", "fact", "batch", one=_LAST_OF.format(0), two=_LAST_OF.format(1),
-        first=_UPSERTED.replace("latest_batch", "one"), later="SELECT * EXCLUDE (action) FROM first",
-        upserted=_UPSERTED.replace("latest_batch", "two").replace("FROM fact", "FROM later"),
+        "SELECT * EXCLUDE (action) FROM upserted", "fact", "batch", one=LAST_OF.format(0), two=LAST_OF.format(1),
+        first=UPSERTED.replace("latest_batch", "one"), later="SELECT * EXCLUDE (action) FROM first",
+        upserted=UPSERTED.replace("latest_batch", "two").replace("FROM fact", "FROM later"),
     ),
     "upsert_matched": sql(
         f"SELECT subject, count(*) AS n FROM fact SEMI JOIN ({_SHARED}) USING (subject, start_date) GROUP BY subject", "fact", "batch"
@@ -194,13 +194,13 @@ ORACLES = {
         """SELECT subject, start_date, end_date, place FROM latest_batch b
         WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.subject = b.subject AND f.start_date = b.start_date)""", "fact", "latest_batch",
     ),
-    "upsert_stays": sql(_UPSERTED, "fact", "latest_batch"),
+    "upsert_stays": sql(UPSERTED, "fact", "latest_batch"),
     "upsert_twice": sql(
         f"""SELECT count(*) FILTER (WHERE n.start_date IS NULL) AS inserted,
         (SELECT count(*) FROM upserted u WHERE u.start_date IS NOT NULL AND u.action <> 'kept') AS updated
-        FROM latest_batch n""", "fact", "latest_batch", upserted=_UPSERTED,
+        FROM latest_batch n""", "fact", "latest_batch", upserted=UPSERTED,
     ),
-    "upsert_table": sql("SELECT * EXCLUDE (action) FROM upserted", "fact", "latest_batch", upserted=_UPSERTED),
+    "upsert_table": sql("SELECT * EXCLUDE (action) FROM upserted", "fact", "latest_batch", upserted=UPSERTED),
     "apply_labels": sql(
         f"""SELECT subject, name, birth_date, category, start_date, end_date, place, coalesce(label, verified_label) AS verified_label,
         CASE WHEN label IS NULL THEN updated_at ELSE {NOW_SQL} END AS updated_at, source_file
