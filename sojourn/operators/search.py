@@ -19,22 +19,22 @@ MAX_HITS = 100
 PAGE_ROWS = 200
 
 
-def _squeezed(c: Column) -> Column:
+def squeezed(c: Column) -> Column:
     return F.replace(F.upper(c), F.lit(" "), F.lit(""))
 
 
 def matches(keyword: str, accent_insensitive: bool = False) -> Column:
     """Key or name contains the keyword, case and spaces aside. The keyword is literal text."""
     raw = F.lit(keyword.strip())
-    folded = _squeezed(strip_accents(raw))
+    folded = squeezed(strip_accents(raw))
     name = F.col("name")
     hit = (
         F.contains(F.replace(F.col(SUBJECT), F.lit(" "), F.lit("")), folded)
-        | F.contains(_squeezed(name), folded)
+        | F.contains(squeezed(name), folded)
         | F.contains(F.upper(name), F.upper(raw))
     )
     if accent_insensitive:
-        hit = hit | F.contains(_squeezed(strip_accents(name)), folded)
+        hit = hit | F.contains(squeezed(strip_accents(name)), folded)
     return F.coalesce(hit, F.lit(False))
 
 

@@ -138,6 +138,26 @@ class StoredProfile:
         others = self._stored(base, SUMMARIES, SUMMARY_SCHEMA, touched).join(subjects, SUBJECT, "left_anti")
         return self._parts(stored, self._write(others.unionByName(derived), SUMMARIES))
 
+    def read_subjects(self, subjects: DataFrame) -> DataFrame:
+        """Stored summaries of a table of subjects, which is read twice; only their buckets are."""
+        touched = [r[0] for r in subjects.select(self._bucket()).distinct().collect()]  # bounded by the buckets
+        found = self._stored(versions.current(self.spark, self.path), SUMMARIES, SUMMARY_SCHEMA, touched)
+        return found.join(subjects.select(SUBJECT), SUBJECT, "left_semi")
+
+    def changed_summaries(self, since: int, until: versions.Version) -> DataFrame:
+        """Subject and name of the summaries that are new or named otherwise after version ``since``.
+
+        Buckets whose folders are the same in both versions are not read; of those whose old folders were deleted every row counts as changed.
+        """
+        before = versions.version(self.spark, self.path, since).parts if since else {}
+        names = [name for name, folders in until.parts.items() if name.startswith(f"{SUMMARIES}=") and folders != before.get(name)]
+        present = {f for name in names for f in before.get(name, []) if versions.folder_parts(self.spark, self.path, f)}
+        old = versions.Version(parts={name: [f for f in before.get(name, []) if f in present] for name in names})
+        key = [SUBJECT, "name"]
+        known = versions.read_parts(self.spark, self.path, old, SUMMARY_SCHEMA).select(F.col(SUBJECT).alias("_subject"), F.col("name").alias("_name"))
+        same = (F.col(SUBJECT) == F.col("_subject")) & F.col("name").eqNullSafe(F.col("_name"))
+        return versions.read_parts(self.spark, self.path, until, SUMMARY_SCHEMA, names).select(*key).join(known, same, "left_anti")
+
     def read(self, lookups: Sequence[Lookup] = ()) -> DataFrame:
         """The profile as of the last refresh, with the lookups as they are now."""
         summaries = self._stored(versions.current(self.spark, self.path), SUMMARIES, SUMMARY_SCHEMA)
