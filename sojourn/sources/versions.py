@@ -45,18 +45,18 @@ def part_name(column: str, value: object | None) -> str:
     return f"{column}={NULL_PART if value is None else value}"
 
 
-def _at(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, at = _at(spark, path)
+    fs, at = hadoop_path(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
-def _load_json(spark: SparkSession, path: str) -> dict | None:
-    fs, at = _at(spark, path)
+def load_json(spark: SparkSession, path: str) -> dict | None:
+    fs, at = hadoop_path(spark, path)
     if not fs.exists(at):
         return None
     stream = fs.open(at)
@@ -66,9 +66,9 @@ def _load_json(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
-def _store_json(spark: SparkSession, path: str, content: dict) -> None:
+def store_json(spark: SparkSession, path: str, content: dict) -> None:
     """Under a name of its own first, so that no reader sees half a file."""
-    fs, at = _at(spark, path)
+    fs, at = hadoop_path(spark, path)
     fs.mkdirs(at.getParent())
     stream = fs.create(at, True)
     try:
@@ -94,7 +94,7 @@ def _load_file(root: str, load: str) -> str:
 
 
 def version(spark: SparkSession, root: str, number: int) -> Version | None:
-    found = _load_json(spark, _version_file(root, number))
+    found = load_json(spark, _version_file(root, number))
     return Version(number, found["parts"], found["load"], found["info"]) if found else None
 
 
@@ -106,7 +106,7 @@ def current(spark: SparkSession, root: str) -> Version:
 
 def find_load(spark: SparkSession, root: str, load: str) -> Version | None:
     """The version that a finished load made; None for a load that is new or failed before its version was published."""
-    aimed = _load_json(spark, _load_file(root, load))
+    aimed = load_json(spark, _load_file(root, load))
     found = version(spark, root, aimed["version"]) if aimed else None
     return found if found and found.load == load else None
 
@@ -144,16 +144,16 @@ def publish(
     number = base.number + 1
     merged = {name: list(folders) for name, folders in {**base.parts, **parts}.items() if folders}
     made = Version(number, merged, load, dict(info or {}))
-    _store_json(spark, _load_file(root, load), {"load": load, "version": number})
+    store_json(spark, _load_file(root, load), {"load": load, "version": number})
     staged = f"{root}/versions/_{uuid.uuid4().hex}"
-    _store_json(spark, staged, {"load": load, "parts": merged, "info": made.info})
+    store_json(spark, staged, {"load": load, "parts": merged, "info": made.info})
     try:
         _rename_new(spark, staged, _version_file(root, number))
     except Exception as failed:
-        fs, at = _at(spark, staged)
+        fs, at = hadoop_path(spark, staged)
         if fs.exists(at):
             fs.delete(at, False)
-        if fs.exists(_at(spark, _version_file(root, number))[1]):
+        if fs.exists(hadoop_path(spark, _version_file(root, number))[1]):
             raise VersionConflict(f"version {number} of {root} exists already") from failed
         raise
     return made
@@ -170,6 +170,6 @@ def drop_folders(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     wanted = {f for n, found in folders.items() if n > last - keep for f in found}
     unused = {f for found in folders.values() for f in found}.intersection(_names(spark, f"{root}/data")) - wanted
     for folder in unused:
-        fs, at = _at(spark, f"{root}/data/{folder}")
+        fs, at = hadoop_path(spark, f"{root}/data/{folder}")
         fs.delete(at, True)
     return sorted(unused)

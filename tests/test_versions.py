@@ -67,7 +67,7 @@ def test_failed_load_is_invisible_and_can_be_repeated(spark, fact, monkeypatch,
 
             patch.setattr(tables, "_write", second_fails)
         elif broken == "ledger":
-            patch.setattr(versions, "_store_json", fail)
+            patch.setattr(versions, "store_json", fail)
         else:
             patch.setattr(versions, "_rename_new", fail)
         with pytest.raises(RuntimeError, match="stop"):
