@@ -20,12 +20,13 @@ KNOWN = [f"NATION_{i}" for i in range(25) if i != 7]
 
 def text_functions(spark, sf):
     """Whole document texts. The sharp s is spelled out first: engines differ on its upper case."""
-    c = F.replace("text", F.lit("ß"), F.lit("ss"))
-    return table(spark, sf, "documents").select(
+    c, plain = F.col("text"), F.col("plain")
+    rows = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("ß"), F.lit("ss")).alias("text"))
+    return rows.withColumn("plain", tx.plain_form(c)).select(
         "doc_id",
         tx.norm_key(c).alias("norm_key"),
-        tx.search_form(c).alias("search_form"),
-        tx.slug(c).alias("slug"),
+        tx.search_of(plain).alias("search_form"),
+        tx.slug_of(plain).alias("slug"),
         tx.clean_csv(c).alias("clean_csv"),
         tx.one_line(c).alias("one_line"),
         tx.truncate(c, 80).alias("short"),
