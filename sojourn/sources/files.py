@@ -15,7 +15,7 @@ EXPORT_ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "utf-16")
 
 # Encoding names as given by callers and the charset the CSV reader is told. It knows no
 # cp1252, so that is read as ISO-8859-1 and the characters in which the two differ are replaced.
-_CHARSET = {
+CHARSET = {
     "utf-8": "UTF-8",
     "utf-8-sig": "UTF-8",
     "cp1252": "ISO-8859-1",
@@ -50,7 +50,7 @@ def detect_encodings(
     A UTF-16 byte order mark settles the matter when UTF-16 is a candidate. ``encoding`` is NULL where
     no candidate fits.
     """
-    unknown = [c for c in candidates if c not in _CHARSET]
+    unknown = [c for c in candidates if c not in CHARSET]
     if unknown:
         raise ValueError(f"unknown encodings: {', '.join(unknown)}")
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
@@ -103,12 +103,12 @@ def read_csv(
         reader = spark.read
         if whole_files and any("\\" in path for path in members):
             # The reader of whole files cannot find names with wildcards in them when it looks for the header itself.
-            line = bytes.fromhex(first).decode(_CHARSET[encoding], "ignore").rstrip("\r\n")
+            line = bytes.fromhex(first).decode(CHARSET[encoding], "ignore").rstrip("\r\n")
             names = spark.read.csv(spark.sparkContext.parallelize([line], 1), header=True, quote='"', escape='"').columns
             reader = reader.schema(StructType([StructField(name, StringType()) for name in names]))
         part = reader.csv(
             sorted(members), header=True, inferSchema=False, quote='"', escape='"',
-            encoding=_CHARSET[encoding], multiLine=whole_files,
+            encoding=CHARSET[encoding], multiLine=whole_files,
         )
         cells = []
         for header in part.columns:

@@ -9,7 +9,7 @@ from sojourn.plans.imports import import_rows
 from sojourn.schema import STAY_SCHEMA
 from sojourn.session import materialize, scratch_dir
 from sojourn.sources import files, tables
-from sojourn.streaming.ingest import ingest_folder
+from sojourn.streaming.ingest import ingest_folder, read_outcomes
 from workload.cleaning import _CHECKED, _ERRORS, _RAW, KNOWN
 from workload.tables import AS_OF, NOW, NOW_SQL, batch, customers, fact, orders, raw, sql, table
 
@@ -149,7 +149,30 @@ def ingest(spark, sf):
     return tables.read_stays(spark, path).groupBy(origin.alias("origin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def drop_outcomes(spark, sf):
+    """One file per customer nation, files of the seventh without a key column: what became of every file, by nation."""
+    base, path = scratch_dir(spark, "drops"), stored_fact(spark, sf)
+    rows = customers(spark, sf).select(
+        F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("Passport"), F.col("c_name").alias("Họ tên"),
+        F.when(F.col("c_acctbal") >= 0, "03/02/2001").otherwise("03/02/2031").alias("Ngày đến"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("nation"),
+    )
+    for broken in (False, True):
+        part = rows.filter((F.col("nation") == "n7") == broken)
+        part = part.withColumnRenamed("Passport", "Code") if broken else part
+        part.repartition("nation").write.mode("append").partitionBy("nation").option("header", True).csv(f"{base}/in")
+    query = ingest_folder(
+        spark, f"{base}/in/*", f"{base}/done", f"{base}/state", path, ["Passport", "Họ tên", "Ngày đến"], lambda: NOW, KNOWN,
+        max_files=20, outcomes=f"{base}/outcomes", failed_dir=f"{base}/failed",
+    )
+    query.awaitTermination()
+    nation = F.regexp_extract("file", "nation=(n[0-9]+)", 1).alias("nation")
+    found = read_outcomes(spark, f"{base}/outcomes").groupBy(nation, "outcome").agg(F.sum("rows").alias("rows"), F.sum("skipped").alias("skipped"))
+    loaded = tables.read_stays(spark, path).filter("start_date = date'2001-02-03' and source_file like 'part-%'").count()
+    return found.withColumn("loaded", F.lit(loaded))
+
+
 QUERIES = {
+    "drop_outcomes": drop_outcomes,
     "upsert_matched": upsert_matched,
     "upsert_new": upsert_new,
     "upsert_stays": lambda s, d: tagged(s, d),
@@ -182,6 +205,11 @@ LAST_OF = """SELECT * EXCLUDE (l_orderkey, l_linenumber, l_partkey, l_suppkey, l
   QUALIFY row_number() OVER (PARTITION BY subject, start_date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1"""
 
 ORACLES = {
+    "drop_outcomes": """
+      SELECT 'n' || n_nationkey AS nation, CASE WHEN n_nationkey = 7 THEN 'failed' ELSE 'loaded' END AS outcome,
+        CASE WHEN n_nationkey = 7 THEN 0 ELSE count(*) END AS rows, CASE WHEN n_nationkey = 7 THEN 0 ELSE count(*) FILTER (WHERE c_acctbal < 0) END AS skipped,
+        (SELECT count(*) FROM customer WHERE c_acctbal >= 0 AND c_nationkey <> 7) AS loaded
+      FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
     "upsert_replayed": sql(
         "SELECT * EXCLUDE (action) FROM upserted", "fact", "batch", one=LAST_OF.format(0), two=LAST_OF.format(1),
         first=UPSERTED.replace("latest_batch", "one"), later="SELECT * EXCLUDE (action) FROM first",
