@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+# Encodings tried in order for imports and for exports, encoding names as given by callers and the
+# charset the CSV reader is told. It knows no cp1252, so that is read as ISO-8859-1 and the characters in which the two differ are replaced.
 IMPORT_ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin1")
 EXPORT_ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "utf-16")
-
-# Encoding names as given by callers and the charset the CSV reader is told. It knows no
-# cp1252, so that is read as ISO-8859-1 and the characters in which the two differ are replaced.
 CHARSET = {
     "utf-8": "UTF-8",
     "utf-8-sig": "UTF-8",
@@ -32,6 +31,9 @@ MISSING = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+#: What ``export_csv`` writes for NULL.
+OWN_MISSING = ("",)
+
 SOURCE_FILE = "source_file"
 POSITION = "position"
 
@@ -81,9 +83,12 @@ def read_csv(
     candidates: Sequence[str] = IMPORT_ENCODINGS,
     multi_line: bool = False,
     newest_last: bool = False,
+    missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """All files as text columns, with ``source_file`` and the row's ``position`` in input order.
 
+    Cells that are one of ``missing`` are NULL; for own exports pass ``OWN_MISSING``, so that a text such as ``NA`` stays.
+
     Files are in the order of their paths, or with ``newest_last`` of their modification times first.
     Files of one encoding and one header are read together; the groups are united by column name.
     Large files are split unless ``multi_line`` asks for line breaks inside quotes. UTF-16 files
@@ -115,7 +120,7 @@ def read_csv(
             cell, name = F.col(f"`{header}`"), header.lstrip("\ufeff")
             if encoding == "cp1252":
                 cell, name = F.translate(cell, _C1_FROM, _C1_TO), name.translate(str.maketrans(_C1_FROM, _C1_TO))
-            cells.append(F.when(~cell.isin(*MISSING), cell).alias(name))
+            cells.append(F.when(~cell.isin(*missing), cell).alias(name))
         part = part.select(
             *cells,
             F.col("_metadata.file_name").alias(SOURCE_FILE),

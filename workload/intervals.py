@@ -53,7 +53,7 @@ def lookup_details(spark, sf):
     return found.select("subject", "watch_kind", "watch_detail", "work_detail", "family_detail")
 
 
-def _lookup_loads(spark, sf):
+def lookup_loads(spark, sf):
     """A stored lookup of customers, and a batch of orders that spells the same keys in lower case."""
     customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
     debtors = customer.filter("c_acctbal < 0").select(F.col("c_name").alias("doc_no"), F.col("c_mktsegment").alias("kind"), F.lit("stored").alias("origin"))
@@ -65,11 +65,11 @@ def _lookup_loads(spark, sf):
 
 
 def lookup_keep_first(spark, sf):
-    return merge_lookup(*_lookup_loads(spark, sf), "doc_no", "at", keep="first")
+    return merge_lookup(*lookup_loads(spark, sf), "doc_no", "at", keep="first")
 
 
 def lookup_keep_last(spark, sf):
-    return merge_lookup(*_lookup_loads(spark, sf), "doc_no", "at", keep="last")
+    return merge_lookup(*lookup_loads(spark, sf), "doc_no", "at", keep="last")
 
 
 QUERIES = {

@@ -114,7 +114,7 @@ def export_csv_roundtrip(spark, sf):
     """Whole documents, with line breaks and quotes, out to CSV and back."""
     path = scratch_dir(spark, "export")
     files.export_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path)
-    found = files.read_csv(spark, path, multi_line=True)
+    found = files.read_csv(spark, path, multi_line=True, missing=files.OWN_MISSING)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
 
 
