@@ -16,6 +16,8 @@ AsOf = dt.date | str
 _YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})(?:[ T].*)?$"
 # Year last: any of the three separators, two to four digits of year, whatever follows.
 _YEAR_LAST = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})"
+# The numbers of either.
+_NUMBERS = r"^(\d{1,4})[/\-.](\d{1,2})[/\-.](\d{1,4})"
 
 
 def as_date(value: AsOf) -> Column:
@@ -30,13 +32,15 @@ def _date_of(year: Column, month: Column, day: Column) -> Column:
     return F.when((year > 0) & month.between(1, 12) & day.between(1, 31), midnight.cast("date"))
 
 
-def _part(text: Column, place: int) -> Column:
-    return F.get(F.split(text, r"[/\-.]", 3), F.lit(place))
+def _trimmed(c: Column) -> Column:
+    """Text without outer white space; most is without, which one test tells for less than trimming costs."""
+    return F.when(c.rlike(r"^[!-~](?:.*[!-~])?$"), c).otherwise(strip(c))
 
 
-def _number(part: Column, most: int) -> Column:
-    """The digits a part starts with, at most so many."""
-    return F.regexp_extract(part, rf"^\d{{1,{most}}}", 0).try_cast("int")
+def _number(text: Column, place: int) -> Column:
+    """One of the three numbers a date starts with. No empty text is cast, as a cast that fails costs an exception."""
+    digits = F.regexp_extract(text, _NUMBERS, place)
+    return F.nullif(digits, F.lit("")).try_cast("int")
 
 
 def _year_last(first: Column, second: Column, digits: Column) -> Column:
@@ -44,9 +48,9 @@ def _year_last(first: Column, second: Column, digits: Column) -> Column:
     return F.coalesce(_date_of(year, second, first), _date_of(year, first, second))
 
 
-def _date_from(text: Column, first: Column, second: Column, third: Column, digits: Column) -> Column:
+def _date_from(text: Column, first: Column, second: Column, third: Column) -> Column:
     return F.when(text.rlike(_YEAR_FIRST), _date_of(first, second, third)).when(
-        text.rlike(_YEAR_LAST), _year_last(first, second, digits)
+        text.rlike(_YEAR_LAST), _year_last(first, second, third)
     )
 
 
@@ -56,25 +60,16 @@ def parse_date(c: Column) -> Column:
     A two-digit year below 50 is in the 2000s, any other in the 1900s. For columns of large tables
     ``parse_dates`` is faster.
     """
-    text = strip(c)
-    first, second = _part(text, 0).try_cast("int"), _part(text, 1).try_cast("int")
-    return _date_from(text, first, second, _number(_part(text, 2), 2), _number(_part(text, 2), 4))
+    text = _trimmed(c)
+    return _date_from(text, *[_number(text, k) for k in (1, 2, 3)])
 
 
 def parse_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace text columns by their dates. Text, parts and numbers are each worked out in a step of
+    """Replace text columns by their dates. Text and numbers are each worked out in a step of
     their own, so that later steps can use them many times."""
-    steps = df.withColumns({c: strip(F.col(c)) for c in columns})
-    steps = steps.withColumns({f"_{c}_parts": F.split(F.col(c), r"[/\-.]", 3) for c in columns})
-    numbers = {}
-    for c in columns:
-        first, second, third = (F.get(f"_{c}_parts", F.lit(i)) for i in range(3))
-        numbers |= {
-            f"_{c}_1": first.try_cast("int"), f"_{c}_2": second.try_cast("int"),
-            f"_{c}_3": _number(third, 2), f"_{c}_year": _number(third, 4),
-        }
-    steps = steps.withColumns(numbers)
-    dates = {c: _date_from(*[F.col(f) for f in (c, f"_{c}_1", f"_{c}_2", f"_{c}_3", f"_{c}_year")]) for c in columns}
+    steps = df.withColumns({c: _trimmed(F.col(c)) for c in columns})
+    steps = steps.withColumns({f"_{c}_{k}": _number(F.col(c), k) for c in columns for k in (1, 2, 3)})
+    dates = {c: _date_from(*[F.col(f) for f in (c, f"_{c}_1", f"_{c}_2", f"_{c}_3")]) for c in columns}
     return steps.withColumns(dates).select(*df.columns)
 
 
