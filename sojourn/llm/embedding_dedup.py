@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,23 +174,9 @@ def _tile(axes: np.ndarray, threshold: float):
     return run
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
-
-    ``n_links`` counts the other rows of cosine >= ``threshold``, ``component_id`` is the smallest id reachable
-    by such links. Vectors that are NULL, empty, zero or hold a NULL or non-finite component have no links; nor
-    have those whose length is not the commonest one (the greater on ties), as no cosine is defined. Equal
-    vectors are compared as one with their number, and count as linked with each other. A row without an
-    id is never linked and is kept, with component NULL. Repeated rows are copies like any others. An empty table
-    gives none. Runs jobs while it is built.
-    """
-    spark = vectors.sparkSession
-    given = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    clean = materialize(given.mapInArrow(_clean, "vec_id bigint, digest binary, unit binary, dim int"), "vectors")
-    usable = clean.filter("dim > 0 and vec_id is not null")
-    common = usable.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = common["dim"] if common else 1
-    usable = usable.filter(F.col("dim") == dim)
+def _link_length(usable: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Links and component of each distinct vector of one length: ``digest, links, component_id``."""
+    spark = usable.sparkSession
     classes = usable.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.any_value("unit").alias("unit"))
     classes = classes.select(F.xxhash64("digest").alias("salt"), "digest", "vec_id", "copies", "unit")
     # A class is known by its row number; ids may repeat.
@@ -240,8 +227,26 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     named = named.join(materialize(least, "least"), "component")
-    named = materialize(named.select("digest", (F.col("links") + F.col("copies") - 1).alias("links"), "component_id"), "labels")
-    own = F.when((F.col("dim") == dim) & F.col("vec_id").isNotNull(), F.col("digest"))
+    return materialize(named.select("digest", (F.col("links") + F.col("copies") - 1).alias("links"), "component_id"), "labels")
+
+
+def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
+
+    ``n_links`` counts the other rows of cosine >= ``threshold``, ``component_id`` is the smallest id reachable
+    by such links. Vectors that are NULL, empty, zero or hold a NULL or non-finite component have no links. Vectors of different
+    lengths have no cosine and are never linked; each length has axes and tiles of its own, one after the other. Equal
+    vectors are compared as one with their number, and count as linked with each other. A row without an
+    id is never linked and is kept, with component NULL. Repeated rows are copies like any others. An empty table
+    gives none. Runs jobs while it is built.
+    """
+    given = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    clean = materialize(given.mapInArrow(_clean, "vec_id bigint, digest binary, unit binary, dim int"), "vectors")
+    usable = clean.filter("dim > 0 and vec_id is not null")
+    dims = sorted(r["dim"] for r in usable.select("dim").distinct().collect())
+    none = vectors.sparkSession.createDataFrame([], "digest binary, links bigint, component_id bigint")
+    named = reduce(DataFrame.unionByName, [_link_length(usable.filter(F.col("dim") == dim), dim, threshold) for dim in dims], none)
+    own = F.when((F.col("dim") > 0) & F.col("vec_id").isNotNull(), F.col("digest"))
     result = clean.select("vec_id", own.alias("digest")).join(named, "digest", "left")
     result = result.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

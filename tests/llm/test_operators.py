@@ -132,9 +132,9 @@ def brute_cosine(rows, threshold=0.95):
     ids, units = [r[0] for r in rows], {}
     for r in rows:
         v = r[1]
-        if v and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == len(rows[0][1]):
+        if v and None not in v and np.isfinite(v).all() and np.any(v):
             units[r[0]] = np.array(v, float) / np.linalg.norm(np.array(v, float))
-    links = [(a, b) for a, b in combinations(units, 2) if units[a] @ units[b] >= threshold]
+    links = [(a, b) for a, b in combinations(units, 2) if len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold]
     count = Counter(n for p in links for n in p)
     return {i: (count[i], c) for i, c in reachable(ids, links).items()}
 
@@ -147,10 +147,12 @@ def test_vectors(spark, monkeypatch, block):
     near = centres[rng.integers(0, 30, 120)] + rng.normal(scale=0.2, size=(120, 24))
     rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([near, near[:7], 3 * near[7:9]]))]
     rows += [(500, None), (501, []), (502, [0.0] * 24), (503, [float("nan")] * 24), (504, [None] + [1.0] * 23), (505, [1.0] * 5)]
+    rows += [(600, [1.0, 2.0, 3.0]), (601, [2.0, 4.0, 6.0]), (602, [1.0, 2.0, 3.0]), (603, [3.0, 1.0, 0.0]), (604, [-1.0] * 5), (605, [2.0] * 5), (606, [7.0])]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     rows = [(i, list(v) if v is not None else None) for i, v in vectors.collect()]
     found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(vectors).collect()}
     assert found == brute_cosine(rows) and max(n for n, _ in found.values()) > 1
+    assert [found[i] for i in (600, 601, 602, 505, 605, 606)] == [(2, 600), (2, 600), (2, 600), (1, 505), (1, 505), (0, 606)]
     assert embedding_dedup.link_vectors(vectors.limit(0)).count() == 0
 
 
