@@ -5,19 +5,19 @@ every shingle once, deals it to one of ``BINS`` bins and keeps each bin's minimu
 from the first filled bin of its own fixed random order, so that borrowed bins agree between two sets
 with the sets' similarity as well. Bands of ``ROWS`` bins name buckets.
 
-Within a bucket no all-pairs list is made. The first document of a random order is the bucket's centre
-and is compared with the others. A bucket whose documents are then one component is settled. In the
-others, the next 4, 16, 64 ... documents become centres, each compared with later documents of other
-components only, until every bucket is settled or has had all its documents as centre. So no pair that
-shares a bucket is lost, whatever the size of the bucket. Documents with the most exact copies come first.
-
-Before texts are fetched, a pair must pass cheap tests: set sizes that allow the similarity, in pairs of at least
-``SKETCHED`` shingles sketches of two bits per bin that agree in nearly as many bins as a similar pair's would, and, in buckets that are still open,
-bitmaps of the sets: a bit that only one side has is a shingle that the other lacks, which bounds the
-intersection. The last one ends the search for documents at the rim of a large family.
-
-At similarity 0.8 a pair shares no bucket with odds of 3e-6, and its sketches agree on average in 40
-bins more than the test asks for, six standard deviations as simulated in sets of 64 shingles.
+Within a bucket no all-pairs list is made. Its first document, the one with the most exact copies, is the
+centre and is compared with the others: one star. Buckets whose documents are then one component are settled.
+The documents of the others meet again in buckets of two bands each, ``OFFSETS`` times with other
+bands, again as one star per bucket, each bucket with a random centre of its own; only documents of different
+components are compared. So a document has at most ``BANDS * (1 + len(OFFSETS))`` candidates, however
+large its buckets are, and finds its nearer neighbours in the later, narrower ones.
+
+Before texts are fetched, a pair must pass exact tests: set sizes that allow the similarity, and bitmaps of the
+sets: a bit that only one side has is a shingle that the other lacks, which bounds the intersection.
+
+At similarity 0.8 a pair shares no bucket with odds of 3e-6. A pair alone in a bucket is always compared; one in
+larger buckets only if either is a centre there, so links of a family can be missed while its component is
+still found through others. README has measured shares.
 """
 
 from __future__ import annotations
@@ -38,13 +38,14 @@ from sojourn.session import materialize
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
 _SHIFT = np.uint64(64 - 8)
-#: Two-bit codes of the bins, in words of 64 bits.
-SKETCH = BINS * 2 // 64
-#: Pairs with a smaller set than this skip the sketch test: most of their bins borrow from few shingles, so codes agree
-#: all together or not at all, and no bound on their number is safe. Their texts are short.
-SKETCHED = 64
+#: A later bucket is named by a band and the one so many further on.
+OFFSETS = (1, 5, 11)
 #: Words of 64 bits of the bitmaps.
 BITMAP = 32
+#: Bits of the filter of wanted keys: 64 bits a row, so 262,144 rows or 4 MB at most, whatever is put in.
+SLOTS = 1 << 24
+#: Pairs of texts confirmed at a time.
+PAIRS = 256
 
 
 @lru_cache
@@ -74,32 +75,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return values
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Two bits of each bin's minimum."""
-    codes = (mix(values) & np.uint64(3)).reshape(SKETCH, 32)
-    return np.bitwise_or.reduce(codes << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
-
-
-def least_agreeing(percent: int) -> int:
-    """Bins whose codes agree in a pair of that similarity, less 7 standard deviations of independent bins."""
-    share = percent / 100 + (1 - percent / 100) / 4
-    return int(BINS * share - 7 * (BINS * share * (1 - share)) ** 0.5)
-
-
-def _alike(percent: int) -> Column:
-    """Whether sketches leave the similarity likely, or the sets are too small to tell."""
-    return (F.least("n", "n_a") < SKETCHED) | (_agreeing("sketch_a", "sketch_b") >= least_agreeing(percent))
-
-
-def _agreeing(one: str, two: str) -> Column:
-    """Bins in which two sketches agree."""
-    apart = F.lit(0)
-    for i in range(SKETCH):
-        differ = F.col(one)[i].bitwiseXOR(F.col(two)[i])
-        apart = apart + F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return F.lit(BINS) - apart
-
-
 def bands(values: np.ndarray) -> np.ndarray:
     """Bucket keys of a signature."""
     rows = values[: BANDS * ROWS].reshape(BANDS, ROWS)
@@ -114,23 +89,22 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def _describe(words: int):
+    """(id, text key, set size, digest, bucket keys) of (id, text key, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, keys, sketches = [], [], [], []
-            for block in word_blocks(batch.column(1), lower=True):
+            counts, digests, keys = [], [], []
+            for block in word_blocks(batch.column(2), lower=True):
                 for row in range(len(block)):
                     found = shingle_set(block.hashes[block.range(row)], words)
                     counts.append(len(found))
                     digests.append(digest(found) if len(found) else None)
-                    values = signature(found) if len(found) else None
-                    keys.append(bands(values) if len(found) else np.zeros(0, np.int64))
-                    sketches.append(sketch(values) if len(found) else None)
+                    keys.append(bands(signature(found)) if len(found) else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+            ], ["doc_id", "key", "n_shingles", "digest", "bands"])
 
     return run
 
@@ -163,103 +137,110 @@ def _possible(percent: int) -> Column:
     return 100 * most >= percent * (F.col("n") + F.col("n_a") - most)
 
 
-def _digests(words: int):
-    """Adds each text's digest to (node, digest wanted, text) and keeps the rows where they agree."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted, keep = batch.column(1).to_pylist(), []
-            for block in word_blocks(batch.column(2), lower=True):
-                for row in range(len(block)):
-                    found = shingle_set(block.hashes[block.range(row)], words)
-                    keep.append(bool(len(found)) and digest(found) == wanted[block.first + row])
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["node", "text"]).filter(kept)
-
-    return run
-
-
 def _confirm(words: int, percent: int):
     """Keeps the pairs (a, b, text of a, text of b) whose sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            heads, keep = batch.column(0).to_pylist(), []
-            changed = [i for i, a in enumerate(heads) if i == 0 or a != heads[i - 1]]
-            fresh = [i for i in changed if heads[i] != last]
-            sets = {
-                heads[fresh[block.first + row]]: shingle_set(block.hashes[block.range(row)], words)
-                for block in word_blocks(batch.column(2).take(pa.array(fresh, pa.int64())), lower=True)
-                for row in range(len(block))
-            }
-            if last is not None:
-                sets.setdefault(last, first)
-            for block in word_blocks(batch.column(3), lower=True):
-                for row in range(len(block)):
-                    one, two = sets[heads[block.first + row]], shingle_set(block.hashes[block.range(row)], words)
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    union = len(one) + len(two) - both
-                    keep.append(union > 0 and 100 * both >= percent * union)
-            if heads:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(start, PAIRS)
+                heads, keep = batch.column(0).to_pylist(), []
+                # Pairs of one centre mostly follow each other; its set is made once for all of them.
+                fresh = [i for i, a in enumerate(heads) if a != (heads[i - 1] if i else last)]
+                sets = {} if last is None else {last: first}
+                for block in word_blocks(batch.column(2).take(pa.array(fresh, pa.int64())), lower=True):
+                    for row in range(len(block)):
+                        sets[heads[fresh[block.first + row]]] = shingle_set(block.hashes[block.range(row)], words)
+                for block in word_blocks(batch.column(3), lower=True):
+                    for row in range(len(block)):
+                        one, two = sets[heads[block.first + row]], shingle_set(block.hashes[block.range(row)], words)
+                        both = len(np.intersect1d(one, two, assume_unique=True))
+                        union = len(one) + len(two) - both
+                        keep.append(union > 0 and 100 * both >= percent * union)
                 last, first = heads[-1], sets[heads[-1]]
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
-            yield kept.filter(pa.array(keep, pa.bool_()))
+                kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
+                yield kept.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links between nodes that share a bucket; ``members`` is (bucket, node, n, turn)."""
-    spark = members.sparkSession
-    found = spark.createDataFrame([], "a bigint, b bigint")
-    alike = _alike(percent)
-    labelled = members.withColumn("component", F.col("node"))
-    used, centres = None, 1
-    while True:
-        waiting = labelled if used is None else labelled.join(used, "bucket").filter("turn > used").drop("used")
-        # Only the first rows of a bucket leave a task, so a hot bucket is not gathered.
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "node"))
-        heads = waiting.withColumn("place", place).filter(F.col("place") <= centres).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"),
-            F.col("component").alias("component_a"), *([F.col(c).alias(f"{c}_a") for c in ("sketch", "bitmap", "bits")] if used is not None else []),
-        )
-        heads = materialize(heads, "centres")
-        near = (F.col("turn") > F.col("turn_a")) & (F.col("component") != F.col("component_a"))
-        near &= 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-        if used is None:
-            pairs = labelled.join(heads, "bucket").filter(near).select("a", F.col("node").alias("b"), "n_a", "n").distinct()
-            pairs = materialize(pairs, "pairs")
-            for end in ("b", "a"):
-                pairs = pairs.join(sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-            pairs = pairs.filter(alike).select("a", "b")
-        else:
-            joined = labelled.withColumnRenamed("sketch", "sketch_b").join(heads, "bucket").filter(near & alike & _possible(percent))
-            pairs = joined.select("a", F.col("node").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
-        second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        new = both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a bigint, b bigint")
-        found = materialize(found.union(new), "found")
-        label = components(found)
-        last = heads.groupBy("bucket").agg(F.max("turn_a").alias("used"))
-        grown = labelled.drop("component").join(label, "node", "left")
-        grown = materialize(grown.withColumn("component", F.coalesce("component", "node")), "labelled")
-        # Open: several components, and at least two documents that have not been centre.
-        state = grown.join(last, "bucket").groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.count_if(F.col("turn") > F.col("used")).alias("left"), F.max("used").alias("used"),
-        )
-        opened = materialize(state.filter("low < high and left > 1").select("bucket", "used"), "open")
-        if opened.isEmpty():
-            return found
-        labelled = grown.join(opened.select("bucket"), "bucket", "left_semi")
-        if used is None:
-            labelled = materialize(labelled, "labelled")
-            nodes = texts.join(labelled.select("node").distinct(), "node", "left_semi").select("node", "text")
-            maps = nodes.mapInArrow(_bitmaps(words), "node bigint, bitmap array<bigint>, bits bigint")
-            labelled = labelled.join(sketches.join(maps, "node"), "node")
-        labelled = materialize(labelled, "labelled")
-        used = opened
-        centres *= 4
+def _wanted_only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``wanted``, by a filter of ``SLOTS`` bits.
+
+    Never drops a wanted row; how many others stay only decides how much the join that follows shuffles.
+    """
+    def slot(c: Column) -> Column:
+        return F.pmod(c, F.lit(SLOTS))
+
+    one = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    cells = wanted.select(slot(F.col(key)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(one).alias("bits"))
+    marked = df.withColumn("slot", slot(F.col(key))).withColumn("cell", F.shiftright("slot", 6))
+    # Bounded by SLOTS / 64 rows of two numbers.
+    return marked.join(F.broadcast(cells), "cell").filter(F.col("bits").bitwiseAND(one) != 0).select(*[F.col(c) for c in df.columns])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The stored pairs (a, b) that are similar enough by their whole texts."""
+    heads = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    second = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = second.join(heads.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = both.select("a", "b", "text_a", "text_b")
+    return materialize(rows.mapInArrow(_confirm(words, percent), "a bigint, b bigint"), "found")
+
+
+def _stars(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Each row of (bucket, node, turn, ...) beside its bucket's centre, whose carried columns end in ``_a``."""
+    # Only the first row of a bucket leaves a task, so a hot bucket is not gathered.
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "node"))
+    heads = rows.withColumn("place", place).filter("place = 1")
+    heads = materialize(heads.select("bucket", F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in carried]), "centres")
+    return rows.join(heads, "bucket").filter("node <> a")
+
+
+def _links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links between nodes that share a bucket; ``members`` is (bucket, band, node, n, turn)."""
+    sizes = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+    maps = materialize(texts.mapInArrow(_bitmaps(words), "node bigint, bitmap array<bigint>, bits bigint"), "bitmaps")
+    pairs = _stars(members, ["n"]).filter(sizes).select("a", F.col("node").alias("b"), "n_a", "n").distinct()
+    pairs = pairs.join(maps.select(F.col("node").alias("b"), "bitmap", "bits"), "b")
+    pairs = pairs.join(maps.select(F.col("node").alias("a"), F.col("bitmap").alias("bitmap_a"), F.col("bits").alias("bits_a")), "a")
+    found = _similar(materialize(pairs.filter(_possible(percent)).select("a", "b"), "pairs"), texts, words, percent)
+    labelled = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = materialize(labelled.select("bucket", "band", "node", "n", "component"), "labelled")
+    state = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    # A bucket of two has had its only pair compared.
+    opened = materialize(state.filter("low < high and size > 2").select("bucket"), "open")
+    if opened.isEmpty():
+        return found
+    within = labelled.join(opened, "bucket", "left_semi").select("node").distinct()
+    # At most BANDS keys a node.
+    keys = labelled.join(materialize(within, "within"), "node", "left_semi").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("component").alias("component"),
+        F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("keys"),
+    )
+    nodes = materialize(keys.join(maps, "node"), "nodes")
+    for k, offset in enumerate(OFFSETS):
+        named = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> if(keys[i] is null or keys[(i + {offset}) % {BANDS}] is null, "
+                       f"null, xxhash64(i, keys[i], keys[(i + {offset}) % {BANDS}])))")
+        rows = nodes.select("node", "n", "component", "bitmap", "bits", F.explode(F.filter(named, lambda x: x.isNotNull())).alias("bucket"))
+        beside = _stars(rows.withColumn("turn", F.xxhash64("bucket", "node")), ["n", "component", "bitmap", "bits"])
+        beside = beside.filter((F.col("component") != F.col("component_a")) & sizes & _possible(percent))
+        ends = beside.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = materialize(ends, "pairs")
+        if pairs.isEmpty():
+            continue
+        new = _similar(pairs, texts, words, percent)
+        found = found.union(new)
+        if k == len(OFFSETS) - 1:
+            break
+        # Components are joined by their new links only.
+        own = materialize(nodes.select("node", "component"), "own")
+        for end in ("a", "b"):
+            new = new.join(own.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}")), end)
+        merged = components(new, "component_a", "component_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        moved = nodes.join(merged, "component", "left")
+        nodes = materialize(moved.select("node", "n", F.coalesce("into", "component").alias("component"), "keys", "bitmap", "bits"), "nodes")
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,31 +254,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     empty set and is linked with nothing. Repeated rows have one and the same result each; a row without
     an id is never linked: its ``component_id`` is NULL and it is kept. An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     described = source.mapInArrow(
-        _describe(words), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"
+        _describe(words), "doc_id bigint, key bigint, n_shingles bigint, digest binary, bands array<bigint>"
     ).withColumn("row", F.monotonically_increasing_id())
     described = materialize(described, "described")
     classes = described.filter("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("copies"),
+        F.min(F.struct("doc_id", "row", "key")).alias("best"), F.count(F.lit(1)).alias("copies"),
         F.min("n_shingles").alias("n"),
     )
     classes = materialize(classes.select(
-        "digest", F.col("best.row").alias("node"), F.col("best.doc_id").alias("doc_id"), "copies", "n",
+        "digest", F.col("best.row").alias("node"), F.col("best.doc_id").alias("doc_id"), F.col("best.key").alias("key"), "copies", "n",
     ), "classes")
     # The first row of each class stands for it; its row number is unique, so this join keeps one row per class.
     leading = described.select("row", "bands").join(classes.select(F.col("node").alias("row"), "n", "copies"), "row")
     # The turn is random below six bits that rank the number of copies, most first.
     rank = F.lit(63) - F.least(F.floor(F.log2("copies")), F.lit(62))
     turn = F.shiftleft(rank.cast("bigint"), 57) + F.pmod(F.xxhash64("row"), F.lit(1 << 57))
-    rows = leading.select(F.col("row").alias("node"), "n", turn.alias("turn"), F.explode("bands").alias("bucket"))
+    leading = materialize(leading.select(F.col("row").alias("node"), "n", turn.alias("turn"), "bands"), "leading")
+    rows = leading.select("node", "n", "turn", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = materialize(rows.join(materialize(shared, "shared"), "bucket", "left_semi"), "members")
-    wanted = materialize(members.select("node").distinct().join(classes, "node").select("node", "doc_id", "digest"), "wanted")
-    texts = source.join(wanted, "doc_id").select("node", "digest", "text")
-    texts = texts.mapInArrow(_digests(words), "node bigint, text string").dropDuplicates(["node"])
-    sketches = described.select(F.col("row").alias("node"), "sketch").join(wanted.select("node"), "node", "left_semi")
-    links = _links(members, materialize(sketches, "sketches"), materialize(texts, "texts"), words, percent)
+    shared = materialize(shared, "shared")
+    members = materialize(_wanted_only(rows, "bucket", shared).join(shared, "bucket", "left_semi"), "members")
+    wanted = materialize(members.select("node").distinct().join(classes, "node").select("node", "doc_id", "key"), "wanted")
+    texts = _wanted_only(source, "key", wanted).join(wanted, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
+    links = _links(members, materialize(texts, "texts"), words, percent)
     label = components(links)
     # Row order is not id order, so a component's id is the smallest id of its classes.
     grouped = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
