@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from sojourn.session import materialize
 
-#: Rounds double the distance over which labels travel; this many would span 2**60 links.
-MAX_ROUNDS = 60
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one node only, and on one that hangs on none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def _toward(links: DataFrame, only_smaller: bool) -> DataFrame:
@@ -34,19 +40,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``component`` is the smallest node reachable. Links are undirected, may repeat and may join a node to
     itself; rows with a NULL end are ignored. Nodes absent from the result are their own component.
-    Alternates two star steps until nothing changes; each round stores its links in the shared folder.
+    Alternates two star steps until every component is a star around its smallest node; each round stores its links in
+    the shared folder, and rounds double the distance over which labels travel.
     """
     pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
     pairs = pairs.filter("x is not null and y is not null and a <> b").select("a", "b").distinct()
-    current, seen = materialize(pairs, "links"), None
-    for _ in range(MAX_ROUNDS):
-        mark = current.agg(
-            F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)),
-            F.count_if(F.col("a").isNull()),
-        ).first()
-        if mark == seen or mark[0] == 0:
-            break
-        seen = mark
+    current = materialize(pairs, "links")
+    while not _settled(current):
         current = materialize(_toward(current, False), "links")
         current = materialize(_toward(current, True), "links")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = leading.select("node", "n", "turn", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     shared = materialize(shared, "shared")
-    members = materialize(_wanted_only(rows, "bucket", shared).join(shared, "bucket", "left_semi"), "members")
+    # An inner join, as the optimizer moves a semi-join ahead of the filter.
+    members = materialize(_wanted_only(rows, "bucket", shared).join(shared, "bucket"), "members")
     wanted = materialize(members.select("node").distinct().join(classes, "node").select("node", "doc_id", "key"), "wanted")
     texts = _wanted_only(source, "key", wanted).join(wanted, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
     links = _links(members, materialize(texts, "texts"), words, percent)
