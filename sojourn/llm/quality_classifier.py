@@ -1,9 +1,10 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on every document. Their votes are counted by pattern
-over the whole corpus, and expectation-maximisation on the patterns estimates each labeller's accuracy and each
+Overlapping heuristic labellers vote on every document. Most of them look for one defect each and vote bad or not at all: that
+a text lacks one defect is no vote for its being good. Votes are counted by pattern over the whole corpus, and
+expectation-maximisation on the patterns estimates how often each labeller votes on good and on bad documents, and each
 pattern's chance of being good. These posteriors label a bounded sample, on which a logistic regression over hashed
-byte trigrams is trained; it scores every document, also those on which no labeller votes.
+byte trigrams and the share of repeated bytes is trained; it scores every document, and its score alone decides.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from sojourn.llm.arrays import extended, mix, text_blocks
 from sojourn.llm.measures import with_measures
 from sojourn.session import materialize
 
-#: Hashed features, and documents in the training sample at most.
-FEATURES, SAMPLE = 1024, 6000
-ROUNDS, PRIOR_GOOD = 50, 0.8
+#: Hashed features, bytes of a run whose repetition is one more feature, and documents in the training sample at most.
+FEATURES, RUN, SAMPLE = 1024, 16, 6000
+#: What is believed of the good share before any vote, and the change of posteriors at which estimates count as settled.
+PRIOR_GOOD, SETTLED = 0.8, 1e-9
 
 
 def _ratio(part: str, whole: str) -> Column:
@@ -31,76 +33,82 @@ def _ratio(part: str, whole: str) -> Column:
 
 
 def labellers() -> dict[str, Column]:
-    """Votes: 1 good, -1 bad, 0 none. Each looks at a measure of the text on its own."""
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
-    length = _ratio("word_chars", "n_words")
-    return {
-        "symbols": vote(_ratio("n_symbols", "word_chars") > 0.1, _ratio("n_symbols", "word_chars") < 0.02),
-        "upper": vote(_ratio("n_upper", "n_letters") > 0.5, _ratio("n_upper", "n_letters") < 0.15),
-        "marks": vote(_ratio("n_marks", "n_words") > 0.3, F.lit(False)),
-        "repeats": vote(_ratio("n_repeat_words", "n_words") > 0.3, _ratio("n_repeat_words", "n_words") < 0.05),
-        "lines": vote(_ratio("n_dup_lines", "n_lines") > 0.5, (F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0)),
-        "stops": vote((F.col("n_words") > 50) & (_ratio("n_stops", "n_words") < 0.005), _ratio("n_stops", "n_words").between(0.02, 0.4)),
-        "length": vote((F.col("n_words") < 10) | (length > 15), (F.col("n_words") >= 50) & length.between(3, 9)),
+    """Votes: 1 good, -1 bad, 0 none. Each looks for one defect; only ``prose`` votes good: on running text of varied wording."""
+    letters = _ratio("n_letters", "word_chars")
+    prose = (
+        (F.col("n_words") >= 50) & (letters >= 0.9) & (_ratio("n_repeat_words", "n_words") < 0.1) & _ratio("n_stops", "n_words").between(0.02, 0.4)
+        & _ratio("word_chars", "n_words").between(3, 9) & (_ratio("n_upper", "n_letters") < 0.15)
+    )
+    bad = {
+        "symbols": _ratio("n_symbols", "word_chars") > 0.05, "upper": _ratio("n_upper", "n_letters") > 0.5,
+        "marks": _ratio("n_marks", "n_words") > 0.3, "repeats": _ratio("n_repeat_words", "n_words") > 0.3,
+        "lines": _ratio("n_dup_lines", "n_lines") > 0.5, "letters": (F.col("n_words") > 0) & (letters < 0.8),
     }
+    return {name: F.when(found, -1).otherwise(0) for name, found in bad.items()} | {"prose": F.when(prose, 1).otherwise(0)}
 
 
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of good per pattern, chance of a right vote per labeller among its votes) by EM.
 
-    A labeller votes right with one chance for good and another for bad documents; a missing vote says nothing.
-    Starts from the majority of votes, so that "good" keeps its meaning, and smooths every estimate.
+    A labeller votes good, bad or nothing, with chances of its own for good and for bad documents. Starts from the sum of
+    votes and the prior, so that "good" keeps its meaning, smooths every estimate, and goes on until the posteriors settle;
+    each round raises the likelihood, and a round that no longer does ends it too.
     """
-    posterior = np.where(len(patterns) > 0, 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1))), 0)
-    for _ in range(ROUNDS):
+    posterior = 1 / (1 + np.exp(-2.0 * patterns.sum(axis=1) - np.log(PRIOR_GOOD / (1 - PRIOR_GOOD))))
+    cast = [patterns == vote for vote in (-1, 0, 1)]
+    # Pseudo-counts of votes of bad, nothing and good: few wrong votes are expected of either class.
+    before = {"good": (0.1, 8.0, 1.9), "bad": (1.9, 8.0, 0.1)}
+    reached, change = -np.inf, np.inf
+    while len(patterns) and change > SETTLED:
         good, bad = counts * posterior, counts * (1 - posterior)
         prior = (good.sum() + PRIOR_GOOD) / (counts.sum() + 1)
-        up, down = patterns == 1, patterns == -1
-        right = ((good @ up) + 4) / ((good @ (up | down)) + 5)
-        wrong = ((bad @ up) + 1) / ((bad @ (up | down)) + 5)
-        score = np.log(prior / (1 - prior)) + up @ np.log(right / wrong) + down @ np.log((1 - right) / (1 - wrong))
-        posterior = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        sides = []
+        for weight, chance, name in ((good, prior, "good"), (bad, 1 - prior, "bad")):
+            seen = [weight @ votes + more for votes, more in zip(cast, before[name], strict=True)]
+            rates = [part / sum(seen) for part in seen]
+            sides.append(np.log(chance) + sum(votes @ np.log(rate) for votes, rate in zip(cast, rates, strict=True)))
+        likelihood = float(counts @ np.logaddexp(*sides))
+        renewed = 1 / (1 + np.exp(np.clip(sides[1] - sides[0], -500, 500)))
+        change = 0.0 if abs(likelihood - reached) <= 1e-13 * abs(likelihood) else float(np.abs(renewed - posterior).max())
+        posterior, reached = renewed, likelihood
     good, bad = counts * posterior, counts * (1 - posterior)
-    votes = (counts @ (patterns != 0)) + 2
-    return posterior, ((good @ (patterns == 1)) + (bad @ (patterns == -1)) + 1) / votes
+    return posterior, ((good @ cast[2]) + (bad @ cast[0]) + 1) / (counts @ ~cast[1] + 2)
 
 
-def _trigrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per block: the feature of each byte trigram that lies within a row, and the first trigram of each row."""
+def _runs(data: np.ndarray) -> np.ndarray:
+    """A hash per position of the ``RUN`` bytes from there on."""
+    found = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        found = found[:-width] << np.uint64(8 * width) | found[width:]
+    return mix(mix(found[:-8]) + found[8:])
+
+
+def _vectors(column: pa.Array) -> Iterator[np.ndarray]:
+    """Per row, roots of shares: of its byte trigrams by hash, and of its runs of bytes that occur earlier in it."""
     for _, data, rows in text_blocks(column):
         wide = data.astype(np.uint64)
         codes = wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:] if len(data) > 2 else np.zeros(0, np.uint64)
-        inside = np.ones(len(codes), bool)
-        for back in (1, 2):
-            cut = rows[1:-1] - back
-            inside[cut[(cut >= 0) & (cut < len(codes))]] = False
-        starts = np.concatenate([[0], np.cumsum(inside)])[np.minimum(rows, len(codes))]
-        yield (mix(codes[inside]) % np.uint64(FEATURES)).astype(np.int64), starts
+        codes = (mix(codes) % np.uint64(FEATURES)).astype(np.int64)
+        for low, high in zip(rows[:-1], rows[1:], strict=True):
+            counts = np.bincount(codes[low : max(high - 2, low)], minlength=FEATURES)
+            runs = _runs(data[low:high]) if high - low >= RUN else np.zeros(0, np.uint64)
+            again = 1 - len(np.unique(runs)) / len(runs) if len(runs) else 0.0
+            yield np.sqrt(np.append(counts / max(high - low - 2, 1), again))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for codes, starts in _trigrams(batch.column(1)):
-            for low, high in zip(starts[:-1], starts[1:], strict=True):
-                counts = np.bincount(codes[low:high], minlength=FEATURES).astype(np.float64)
-                rows.append(np.sqrt(counts / max(high - low, 1)))
+        rows = list(_vectors(batch.column(1)))
         flat = pa.array(np.concatenate(rows) if rows else np.zeros(0))
-        ends = pa.array(np.arange(len(rows) + 1) * FEATURES, pa.int32())
+        ends = pa.array(np.arange(len(rows) + 1) * (FEATURES + 1), pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["posterior", "features"])
 
 
 def _score(weights: np.ndarray, intercept: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for codes, starts in _trigrams(batch.column(1)):
-                for low, high in zip(starts[:-1], starts[1:], strict=True):
-                    counts = np.bincount(codes[low:high], minlength=FEATURES)
-                    scores.append(float(np.sqrt(counts / max(high - low, 1)) @ weights) + intercept)
-            values = 1 / (1 + np.exp(-np.clip(np.array(scores), -30, 30)))
+            scores = np.array([float(row @ weights) + intercept for row in _vectors(batch.column(1))])
+            values = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["row", "score"])
 
     return run
@@ -109,17 +117,16 @@ def _score(weights: np.ndarray, intercept: float):
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: its id, the labellers' votes (``votes``, a map), ``posterior``, ``score``, ``good``.
 
-    ``posterior`` comes from the votes alone, ``score`` (0 to 1) from the trained scorer, and ``good`` is whether the
-    mean of the two reaches ``threshold``. A NULL text counts as empty; an empty text has no trigram, so its score is
+    ``posterior`` comes from the votes alone and only trains; ``score`` (0 to 1) comes from the trained scorer, and ``good`` is
+    whether it reaches ``threshold``. A NULL text counts as empty; an empty text has no trigram, so its score is
     the scorer's intercept. Repeated rows have equal results. If all documents of the sample lean to one side the score
     is the mean posterior. An empty table gives none. Runs jobs while it is built.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     slim = docs.select(F.col(id_col).alias("id"), text)
-    # The measures' pass hands the text on, so that votes and scores of a row come from one scan.
     voters = labellers()
-    votes = F.array(*[v.cast("int") for v in voters.values()])
-    patterns = with_measures(slim, "text", ["id"]).select(votes.alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    votes = F.array(*[v.cast("int") for v in voters.values()]).alias("votes")
+    patterns = with_measures(slim, "text", ["id"]).select(votes).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
     # At most 3 ** labellers rows.
     found = patterns.orderBy("votes").collect()
     table = np.array([r["votes"] for r in found], np.int64).reshape(-1, len(voters))
@@ -127,21 +134,24 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     lookup = F.create_map(*[
         x for row, p in zip(table.tolist(), posterior.tolist(), strict=True) for x in (F.lit(",".join(map(str, row))), F.lit(p))
     ]) if len(table) else F.create_map(F.lit(""), F.lit(0.5))
-    measured = with_measures(slim, "text", ["id", "text"])
-    marked = measured.select("id", "text", votes.alias("votes")).withColumn("posterior", F.element_at(lookup, F.array_join(F.col("votes").cast("array<string>"), ",")))
+    of_votes = F.element_at(lookup, F.array_join(F.col("votes").cast("array<string>"), ",")).alias("posterior")
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return with_measures(rows, "text", ["id", "text"]).select("id", "text", votes).select("*", of_votes)
+
     # The smallest hashes: a bound that about 1.2 * SAMPLE rows stay below keeps the others out of the sort's one last task.
     share = min(1.0, 1.2 * SAMPLE / max(sum(r["n"] for r in found), 1))
     order = F.xxhash64("id", "text")
-    few = marked.filter(order <= F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else marked
-    sample = few.orderBy(order, "id").limit(SAMPLE).select("posterior", "text")
+    few = slim.filter(order <= F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else slim
+    sample = marked(few.orderBy(order, "id").limit(SAMPLE)).select("posterior", "text")
     features = materialize(sample.mapInArrow(_features, "posterior double, features array<double>"), "features")
     weights, intercept = train(features)
-    names = list(voters)
-    rows = marked.select(F.struct("id", "votes", "posterior").alias("row"), "text")
+    # The measures' pass hands the text on, so that votes and scores of a row come from one scan.
+    rows = marked(slim).select(F.struct("id", "votes", "posterior").alias("row"), "text")
     schema = extended(rows.schema["row"], score="double")
     scored = rows.mapInArrow(_score(weights, intercept), schema).select("row.*", "score")
-    named = F.map_from_arrays(F.array(*map(F.lit, names)), F.col("votes"))
-    good = (F.col("posterior") + F.col("score")) / 2 >= threshold
+    named = F.map_from_arrays(F.array(*map(F.lit, voters)), F.col("votes"))
+    good = F.col("score") >= threshold
     return scored.select(F.col("id").alias(id_col), named.alias("votes"), "posterior", "score", good.alias("good"))
 
 
@@ -153,6 +163,6 @@ def train(features: DataFrame) -> tuple[np.ndarray, float]:
     mean, sides = both.agg(F.sum(F.col("label") * F.col("share")) / F.sum("share"), F.countDistinct("label")).first()
     if sides < 2:
         share = min(max(mean if mean is not None else 0.5, 1e-6), 1 - 1e-6)
-        return np.zeros(FEATURES), float(np.log(share / (1 - share)))
+        return np.zeros(FEATURES + 1), float(np.log(share / (1 - share)))
     model = LogisticRegression(weightCol="share", maxIter=30, regParam=1e-4, standardization=False).fit(both)
     return model.coefficients.toArray(), float(model.intercept)
