@@ -1,14 +1,14 @@
 """Language identification by compression.
 
-Each language has a dictionary of raw content: the words of sample passages, the most frequent last, where
+Each language has a dictionary of raw content: the words of sample documents, those of most documents last, where
 references to them are shortest. Single words, so that a passage that documents of two languages share
-weighs no more than its words. A text is compressed once with every dictionary; the language
-whose dictionary leaves the fewest bytes wins, and a narrow lead is rejected.
+weighs no more than its words. A text is compressed with two cuts of every dictionary: a short one of the commonest words, whose near
+references tell most in few bytes, and a long one for the rest. The language with the smallest sum of both sizes
+wins, for texts of every length alike, and a narrow lead is rejected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.llm.arrays import extended
+from sojourn.session import materialize
 
-#: The dictionaries' sample: this many passages of this many characters per language.
-PASSAGES, PASSAGE_CHARS = 512, 512
-#: A dictionary's bytes, and those used for texts of less than ``SHORT`` bytes, which near references fit better.
-DICTIONARY, SHORT_DICTIONARY, SHORT = 100_000, 4_000, 1024
+#: The dictionaries' sample: this many documents of each language, whole.
+SAMPLE = 512
+#: Bytes of the two dictionaries, of the commonest words of the sample.
+DICTIONARY, SHORT_DICTIONARY = 100_000, 4_000
 LEVEL = 5
 #: Smallest lead, as a share of the second best size, that is accepted.
 MIN_MARGIN = 0.005
@@ -41,24 +42,36 @@ def letters(text: str) -> bytes:
     return b" ".join(dict.fromkeys(text.lower().encode().translate(_ONLY_LETTERS).split()))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = [word.decode() for word in letters(text).split()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "word"])
+
+
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Dictionaries by language from rows with text and language.
 
-    A bounded sample is enough: the ``PASSAGES`` rows of each language that come first in a fixed random
-    order give one passage each, cut at a random place. Only those leave the tasks and reach the driver.
+    A bounded sample is enough: the ``SAMPLE`` rows of each language that come first in a fixed random
+    order, with their whole texts. Their words are counted by documents, and only as many of the commonest as a dictionary holds reach
+    the driver; words of equally many documents are taken by the alphabet.
     Rows whose text or language is NULL or blank are left out; without any row there is no dictionary.
     """
     rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
     rows = rows.filter("text rlike '\\\\p{L}' and trim(lang) <> ''").withColumn("order", F.xxhash64("id", "text"))
-    spare = F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(0)) + 1
-    at = (F.pmod(F.xxhash64("order"), spare) + 1).cast("int")
-    rows = rows.select("lang", "order", F.substring("text", at, F.lit(PASSAGE_CHARS)).alias("passage"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "passage"))
-    kept = rows.withColumn("place", place).filter(F.col("place") <= PASSAGES).collect()
-    words: dict[str, Counter[bytes]] = {}
-    for row in sorted(kept, key=lambda r: (r["lang"], r["place"])):
-        words.setdefault(row["lang"], Counter()).update(letters(row["passage"]).split())
-    return {lang: b" ".join(w for w, _ in reversed(found.most_common()))[-DICTIONARY:] for lang, found in words.items()}
+    # A bound on the hash that about 2 * SAMPLE rows of a language stay below keeps the others out of the language's one window task.
+    sizes = materialize(rows.groupBy("lang").agg((F.lit(2.0 * SAMPLE + 64) / F.count(F.lit(1))).alias("share")), "languages")
+    few = rows.join(sizes, "lang").filter(F.col("order") / F.lit(2.0**64) + 0.5 < F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "text"))
+    chosen = few.withColumn("place", place).filter(F.col("place") <= SAMPLE).select("lang", "text")
+    counted = chosen.mapInArrow(_words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    filled = F.sum(F.octet_length("word") + 1).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = counted.withColumn("filled", filled).filter(F.col("filled") <= DICTIONARY).select("lang", "filled", "word").collect()
+    words: dict[str, list[str]] = {}
+    for row in sorted(kept, reverse=True):
+        words.setdefault(row["lang"], []).append(row["word"])
+    return {lang: " ".join(found).encode() for lang, found in words.items()}
 
 
 class Compressors:
@@ -66,8 +79,9 @@ class Compressors:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
-        self.whole = [self._compressor(dictionaries[lang]) for lang in self.langs]
-        self.short = [self._compressor(dictionaries[lang][-SHORT_DICTIONARY:]) for lang in self.langs]
+        self.pairs = [
+            (self._compressor(dictionaries[lang]), self._compressor(dictionaries[lang][-SHORT_DICTIONARY:])) for lang in self.langs
+        ]
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -82,8 +96,7 @@ class Compressors:
         if not text or not self.langs or not _LETTER.search(text):
             return UNDETERMINED, 0.0
         data = letters(text)
-        used = self.short if len(data) < SHORT else self.whole
-        sizes = sorted((len(c.compress(data)), lang) for c, lang in zip(used, self.langs, strict=True))
+        sizes = sorted((sum(len(c.compress(data)) for c in pair), lang) for pair, lang in zip(self.pairs, self.langs, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
@@ -100,7 +113,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     added = ("lang_pred", "score", "accepted")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     source = docs.select(F.struct(*kept).alias("row"), F.col(text_col).cast("string").alias("text"))
-    # A few dictionaries of PASSAGES * PASSAGE_CHARS characters, however many documents there are.
+    # A dictionary of at most DICTIONARY bytes per language, however many documents there are.
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
