@@ -25,14 +25,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked at 0.8 on five-word shingles, the one of the smallest id.
 
-    Repeated rows of one id are one document, of which the first by text stays; rows without an id stay.
+    Rows go by id and text: of an id with several texts only those go that are copies of a document of a smaller id. Rows of one
+    id and one text are one document, of which the first by all its columns stays; rows without an id stay.
     """
-    gone = minhash.near_duplicates(docs, words=5).filter("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["doc_id"], "left_anti")
-    ranked = kept.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("order"))
-    twice = ranked.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    single = ranked.join(twice, "id", "left_anti")
-    one = ranked.join(twice, "id", "left_semi").dropDuplicates(["id"])
+    text = F.col("text").cast("string")
+    found = minhash.near_duplicates(docs, words=5, key_col="key")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("id"), "key").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(row, F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("key"))
+    kept = keyed.join(gone, ["id", "key"], "left_anti")
+    twice = kept.filter("id is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "key")
+    single = kept.join(twice, ["id", "key"], "left_anti")
+    one = kept.join(twice, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     return single.select("doc.*").union(one.select("doc.*"))
 
 

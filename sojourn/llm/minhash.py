@@ -243,8 +243,10 @@ def _links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None,
+) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``, and ``xxhash64`` of the text if ``key_col`` names it.
 
     Two documents are linked when ``100 * intersection >= percent * union`` of their sets. ``component_id``
     is the smallest id reachable by links, ``kept`` whether it is the document's own.
@@ -290,7 +292,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     named = grouped.join(materialize(least, "least"), "component", "left")
     named = named.withColumn("component_id", F.coalesce("least", "doc_id"))
     named = materialize(named.filter("copies > 1 or component_id <> doc_id").select("digest", "component_id"), "named")
-    result = described.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    key = [F.col("key").alias(key_col)] if key_col else []
+    result = described.select("doc_id", "n_shingles", "digest", *key).join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    result = result.select("doc_id", "n_shingles", own.alias("component_id"))
+    result = result.select("doc_id", "n_shingles", own.alias("component_id"), *([key_col] if key_col else []))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

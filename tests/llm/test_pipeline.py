@@ -41,6 +41,16 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 2]
 
 
+def test_rows_go_by_id_and_text(spark):
+    """One id with a copy of another document and a text of its own: the copy goes, the other text stays; of equal rows the first does."""
+    copy, own = " ".join(f"c{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, copy, "b"), (2, copy, "a"), (2, own, "a"), (3, f"{own} x", "a"), (4, "alone", "z"), (4, "alone", "y"), (None, copy, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {(1, copy, "b"), (2, own, "a"), (4, "alone", "y"), (None, copy, "a")}
+
+
 def test_queries_read_whole_tables(spark):
     for name, query in queries.QUERIES.items():
         n = int(name[2:].split("_")[0])
