@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sojourn.functions.dates import year_age
 from sojourn.functions.text import contains_any, not_blank
 from sojourn.operators import classify as cl
+from sojourn.operators import keywords as kw
 from sojourn.operators import reports as rp
 from sojourn.operators import search as se
 from sojourn.plans import reports as pr
@@ -132,7 +133,18 @@ def keyword_flags(spark, sf):
     )
 
 
+def keyword_rules(spark, sf):
+    """As many keywords as documents, each a piece of one of them, and for every document the source of the first one it contains."""
+    docs = table(spark, sf, "documents")
+    rules = docs.select(
+        F.substring(F.lower("text"), F.lit(11), F.lit(8) + (F.col("doc_id") % 9).cast("int")).alias("keyword"),
+        F.col("doc_id").alias("rank"), F.col("source").alias("value"),
+    )
+    return kw.first_keyword(docs.select("doc_id", "text"), rules, "doc_id", "text", "none").select("doc_id", "decision", "n_keywords")
+
+
 QUERIES = {
+    "keyword_rules": keyword_rules,
     "search_fuzzy": search_fuzzy,
     "search_batch": lambda s, d: batch(s, d)[0].select("subject", "start_date", "end_date", "status", "days_1y"),
     "search_batch_info": lambda s, d: batch(s, d)[1],
@@ -217,6 +229,13 @@ ORACLES = {
     "matrix_report": sql(_MATRIX.format(50), "prof", **_SINCE_1998, counted=_COUNTED),
     "matrix_totals": sql(_TOTALS, "prof", **_SINCE_1998, counted=_COUNTED, shown="FROM counted"),
     "matrix_totals_shown": sql(_TOTALS, "prof", **_SINCE_1998, counted=_COUNTED, shown=_MATRIX.format(10)),
+    "keyword_rules": r"""
+      WITH d AS (SELECT doc_id, lower(text) AS t, source FROM documents),
+      k AS (
+        SELECT substring(t, 11, 8 + CAST(doc_id % 9 AS INT)) AS keyword, min(doc_id) AS rank, arg_min(source, doc_id) AS value
+        FROM d GROUP BY 1 HAVING regexp_matches(keyword, '[^ \t\n\x0B\f\r]')),
+      hits AS (SELECT doc_id, count(*) AS n, arg_min(value, rank) AS decision FROM d JOIN k ON contains(t, keyword) GROUP BY 1)
+      SELECT doc_id, coalesce(decision, 'none') AS decision, coalesce(n, 0) AS n_keywords FROM d LEFT JOIN hits USING (doc_id)""",
     "keyword_flags": """
       WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
       SELECT doc_id, contains(t, 'license') OR contains(t, 'copyright') AS legal,
